@@ -17,7 +17,9 @@ Defined results
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 #: Last bytes of white space beyond ASCII, and of characters that some libraries count as such.
 _WIDE_SPACE = [0xE19A80, 0xE1A08E, *range(0xE28080, 0xE28090), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE28180, 0xE38080, 0xEFBBBF]
 _NARROW_SPACE = [0xC285, 0xC2A0]
+_LONG = 10_000
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{5000,}")
 
 _LOADED: dict[str, "Encoder"] = {}
 
@@ -69,6 +73,18 @@ class Encoder:
             at = at[~bad]
         return at
 
+    def encode_fragment(self, text: str) -> list[int]:
+        """Runs of white space too long for the library's split go past it: all but the last of such a run is one word."""
+        if len(text) < _LONG:
+            return self.bpe.encode_ordinary(text)
+        ids, at = [], 0
+        for run in _LONG_SPACE.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            ids += self.bpe.encode_ordinary(text[at : run.start()])
+            ids += self.bpe._encode_single_piece(text[run.start() : end])
+            at = end
+        return ids + self.bpe.encode_ordinary(text[at:])
+
     def encode(self, texts: pa.Array) -> pa.Array:
         """A list of ids for each text."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -78,11 +94,14 @@ class Encoder:
             return pa.ListArray.from_arrays(pa.array(np.zeros(len(texts) + 1, np.int32)), pa.array([], pa.int32()))
         data = np.frombuffer(texts.buffers()[2], np.uint8)[low:high]
         ends = ends - low
-        bounds = np.union1d(self.cuts(data), ends)
+        marks = np.zeros(len(data) + 1, np.bool_)
+        marks[self.cuts(data)] = True
+        marks[ends] = True
+        bounds = np.flatnonzero(marks)
         fragments = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)).dictionary_encode()
-        known = self.bpe.encode_ordinary_batch(fragments.dictionary.to_pylist(), num_threads=1)
+        known = [self.encode_fragment(t) for t in fragments.dictionary.to_pylist()]
         lengths = np.fromiter(map(len, known), np.int64, len(known))
-        flat = np.fromiter((i for ids in known for i in ids), np.int32, int(lengths.sum()))
+        flat = np.fromiter(chain.from_iterable(known), np.int32, int(lengths.sum()))
         starts = np.concatenate([[0], np.cumsum(lengths)])
         which = fragments.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         each = lengths[which]

@@ -45,3 +45,10 @@ def test_other_library_agrees():
     t.encode_special_tokens = True
     texts = [x for x in CASES if x]
     assert [e.ids for e in t.encode_batch(texts, add_special_tokens=False)] == tokens.encoder().encode(pa.array(texts)).to_pylist()
+
+
+def test_very_long_runs():
+    e = tokens.encoder()
+    for text in (" " * 20_000 + "x", "a" + "\n" * 12_000, "b" + " \n" * 9_000 + "c d" + " " * 6_000, "y" * 30_000):
+        assert e.encode_fragment(text) == e.bpe.encode_ordinary(text)
+    assert len(e.encode(pa.array([" " * 2_000_000 + "x", "z" * 2_000_000]))) == 2
