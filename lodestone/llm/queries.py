@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import similar_vectors, splitting, tokens
+from lodestone.llm import credentials, similar_vectors, splitting, tokens
 from lodestone.sources.tables import table
 
 
@@ -12,6 +12,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return similar_vectors.similar_pairs(table(spark, d, "chunks"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.credentials(table(spark, d, "chunks"))
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.redacted_chunks(table(spark, d, "chunks")).select("chunk_id", "redacted")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.oversized_pieces(table(spark, d, "chunks")).where("piece_no = 0").select("chunk_id")
 
@@ -24,7 +32,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_redacted": p2_redacted, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids}
 
 SQL = {
     "p7_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(content) // 4 > 1024",

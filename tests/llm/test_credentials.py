@@ -1,0 +1,101 @@
+import random
+import string
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.llm import credentials as c
+
+RND = random.Random(4)
+ALNUM = string.ascii_letters + string.digits
+
+
+def rnd(n, chars=ALNUM):
+    return "".join(RND.choices(chars, k=n - 2)) + "7Q"
+
+
+KEY = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(rnd(64) for _ in range(3)) + "\n-----END RSA PRIVATE KEY-----"
+
+TRUE = [
+    f'password = "{rnd(12)}"',
+    f"smtpPass: '{rnd(20)}',",
+    f"DB_PASSWORD={rnd(16)}",
+    f"x.apiKey={rnd(40)}",
+    f"aws = 'AKIA{rnd(16, string.ascii_uppercase + string.digits)}'",
+    f"token: ghp_{rnd(36)}",
+    f'"dsn": "postgresql://app:{rnd(14)}@db.example.com:5432/x"',
+    f"redis://:{rnd(14)}@cache/0",
+    f'curl -H "Authorization: Bearer {rnd(40)}" https://example.com',
+    f"tool --client-secret={rnd(20)} run",
+    f"tool --api-key {rnd(20)} run",
+    f"The value of **auth_token** is {rnd(30)} on staging",
+    f"Log in as `app_svc` / `{rnd(14)}`.",
+    f"conn.open_session(\"app_svc\", '{rnd(24)}');",
+    f'let SECRET_KEY: &str = "{rnd(24)}";',
+    f"| app | app_password | {rnd(20)} |",
+    f"machine x.example.com login me password {rnd(18)}",
+    "# rotate: passwd is Harbor#4521open",
+]
+FALSE = [
+    'password = "changeme"',
+    'api_key = "your-api-key-here"',
+    'token = os.environ["TOKEN"]',
+    'secret = "${SECRET}"',
+    "password: {{ vault.password }}",
+    'password_min_length = "12"',
+    'token_url = "https://auth.example.com/x1/token"',
+    'secret_name = "db-credentials-2"',
+    'public_key = "ssh-ed25519 AAAAC3NzaC1lZDI1NTE5AAAAIJ8Qw me"',
+    "-----BEGIN CERTIFICATE-----",
+    f'integrity = "sha512-{rnd(60)}"',
+    'build_sha = "32d477ae1bb973e8c94e8aa5866a97d4f381819d"',
+    'tenant_uuid = "3bef6df3-4ea0-0632-a80c-9ea91a3ab1c1"',
+    "postgresql://${USER}:${PASS}@db/x",
+    "https://example.com:8443/@team",
+    'passwordHint = "Enter the password 1"',
+    "password = self.read_password(4)",
+    "secret: '************'",
+    "tokens are counted in 4096 steps",
+]
+
+
+@pytest.mark.parametrize("line", TRUE)
+def test_found_and_masked(line):
+    text = "first\n" + line + "\nlast\n"
+    parts = c.find_parts(text)
+    assert parts and {text.count("\n", 0, a) + 1 for a, _, b in parts if b} == {2}
+    masked = c.mask(text, parts)
+    assert len(masked) == len(text) and masked != text and c.find(masked) == []
+    assert [ch for ch in masked if not ch.isalnum()] == [ch for ch in text if not ch.isalnum()]
+
+
+@pytest.mark.parametrize("line", FALSE)
+def test_left_alone(line):
+    assert c.find("first\n" + line + "\nlast\n") == []
+
+
+def test_key_blocks_and_parts():
+    text = f'a\nkey = """\n{KEY}\n"""\nt = ("{rnd(20)}"\n  "{rnd(20)}")\ntoken = ("{rnd(20)}"\n  "{rnd(20)}")\r\n'
+    parts = c.find_parts(text)
+    assert sorted({text.count("\n", 0, a) + 1 for a, _, b in parts if b}) == [3, 11]
+    masked = c.mask(text, parts)
+    assert "-----BEGIN RSA PRIVATE KEY-----\n" in masked and "-----END RSA PRIVATE KEY-----" in masked and c.find(masked) == []
+    assert masked.splitlines()[11] != text.splitlines()[11]
+    one = 'p = "' + KEY.replace("\n", "\\n") + '"'
+    assert len(c.find(one)) == 1 and c.mask(one, c.find_parts(one)).count("\\n") == one.count("\\n")
+    pair = f"env:\n  - name: CLIENT_SECRET\n    value: {rnd(20)}\n"
+    assert [pair.count("\n", 0, a) + 1 for a, _, _ in c.find(pair)] == [3]
+
+
+def test_odd_texts():
+    assert c.find(None) == c.find("") == c.find(" \n") == []
+    big = ("x = 1\n" * 200_000) + TRUE[0] + "\n" + "İ" * 10 + f"\npassword = '{rnd(12)}'"
+    assert [big.count("\n", 0, a) + 1 for a, _, _ in c.find(big)] == [200_001, 200_003]
+    assert c.find("password" * 50_000) == []
+
+
+def test_frame(spark):
+    rows = [("a", TRUE[0], 1, 0), ("a", TRUE[0], 1, 0), ("a", TRUE[0], 2, 0), ("b", None, 1, 0), ("c", "nothing", 1, 0), (None, TRUE[0], 1, 0), ("d", TRUE[1] + "\n" + TRUE[1], 1, 0), ("e", TRUE[0], 1, 0), ("e", "gone", 2, 0)]
+    df = spark.createDataFrame(rows, "chunk_id string, content string, created_at int, lines int").withColumn("created_at", F.timestamp_seconds("created_at"))
+    assert sorted(tuple(r) for r in c.credentials(df).collect()) == [("a", 1), ("d", 1), ("d", 2)]
+    assert c.credentials(df.limit(0)).collect() == []
