@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import credentials, similar_vectors, splitting, tokens
+from lodestone.llm import credentials, encoding, similar_vectors, splitting, tokens
 from lodestone.sources.tables import table
 
 
@@ -32,7 +32,15 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_redacted": p2_redacted, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.garbled_documents(table(spark, d, "documents")).select("doc_id")
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.garbled_documents(table(spark, d, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_redacted": p2_redacted, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p10_found": p10_found, "p10_restored": p10_restored}
 
 SQL = {
     "p7_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(content) // 4 > 1024",
