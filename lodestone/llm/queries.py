@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import credentials, encoding, near_duplicates, similar_vectors, splitting, tokens
+from lodestone.llm import credentials, encoding, mixing, near_duplicates, similar_vectors, splitting, tokens
 from lodestone.sources.tables import table
 
 
@@ -40,6 +40,14 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(table(spark, d, "documents"))
 
 
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "source_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "source_targets"))[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return encoding.garbled_documents(table(spark, d, "documents")).select("doc_id")
 
@@ -48,7 +56,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.garbled_documents(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_redacted": p2_redacted, "p5_found": p5_found, "p5_classes": p5_classes, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_redacted": p2_redacted, "p5_found": p5_found, "p5_classes": p5_classes, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_restored": p10_restored}
 
 SQL = {
     "p7_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(content) // 4 > 1024",
