@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import credentials, encoding, mixing, near_duplicates, similar_vectors, splitting, tokens
+from lodestone.llm import credentials, encoding, handwritten, mixing, near_duplicates, similar_vectors, splitting, tokens
 from lodestone.sources.tables import table
 
 
@@ -28,6 +28,14 @@ def p5_classes(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, d, "chunks"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, d, "chunks"))
+
+
+def p6_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.classified_files(table(spark, d, "chunks"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.oversized_pieces(table(spark, d, "chunks")).where("piece_no = 0").select("chunk_id")
 
@@ -56,7 +64,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.garbled_documents(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_redacted": p2_redacted, "p5_found": p5_found, "p5_classes": p5_classes, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_redacted": p2_redacted, "p5_found": p5_found, "p5_classes": p5_classes, "p6_found": p6_found, "p6_kinds": p6_kinds, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_restored": p10_restored}
 
 SQL = {
     "p7_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(content) // 4 > 1024",
