@@ -54,7 +54,33 @@ def _tokenized(vocabulary: str):
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
                 ids = e.encode(part.column(2))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pc.cast(pc.list_value_length(ids), pa.int32()), ids], names=["doc_id", "source", "n", "ids"])
+                packed = ids.values.to_numpy().astype(_width(vocabulary))
+                offsets = ids.offsets.to_numpy().astype(np.int32) * packed.itemsize
+                packed = pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(packed)])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pc.cast(pc.list_value_length(ids), pa.int32()), packed], names=["doc_id", "source", "n", "ids"])
+
+    return run
+
+
+def _width(vocabulary: str):
+    """Ids travel in two bytes where the vocabulary allows."""
+    return np.uint16 if encoder(vocabulary).bpe.n_vocab <= 1 << 16 else np.int32
+
+
+def _unpacked(vocabulary: str):
+    import pyarrow as pa
+
+    def run(batches):
+        width = _width(vocabulary)
+        for batch in batches:
+            x = batch.column(6)
+            items = x.flatten()
+            data = b"".join(items.field("ids").to_pylist())
+            ids = np.frombuffer(data, width).astype(np.int32)
+            ends = np.concatenate([[0], np.cumsum(batch.column(5).to_numpy())]).astype(np.int32)
+            pieces = pa.StructArray.from_arrays([items.field(f) for f in ("doc_id", "first", "count")], names=["doc_id", "first", "count"])
+            at = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(x).to_numpy())]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.ListArray.from_arrays(pa.array(at), pieces), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=["shard", "slot", "source", "pass", "block_no", "n_tokens", "pieces", "ids"])
 
     return run
 
@@ -135,7 +161,7 @@ def mixture(documents: DataFrame, targets: DataFrame, block: int = BLOCK, shard_
         old = wanted.get(r.source, (0.0, 0))
         wanted[r.source] = old[0] + max(0.0, r.target_share or 0.0), max(old[1], 1 if r.max_repeats is None else r.max_repeats)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), same_source(F.col("source")).alias("source"), "text").where(F.col("source").isin(list(wanted)) if wanted else F.lit(False))
-    tokens = written(rows.mapInArrow(_tokenized(vocabulary), "doc_id long, source string, n int, ids array<int>").where("n > 0").withColumns({"t": F.xxhash64("ids"), "row": F.monotonically_increasing_id()}), "tokens")
+    tokens = written(rows.mapInArrow(_tokenized(vocabulary), "doc_id long, source string, n int, ids binary").where("n > 0").withColumns({"t": F.xxhash64("ids"), "row": F.monotonically_increasing_id()}), "tokens")
     sizes = {r.source: r.n for r in tokens.groupBy("source").agg(F.sum("n").alias("n")).collect()}
     plans = plan(sizes, wanted, block)
     drawn = draw({s: x["slots"] for s, x in plans.items()}, shard_blocks, seed)
@@ -150,14 +176,11 @@ def mixture(documents: DataFrame, targets: DataFrame, block: int = BLOCK, shard_
     start = F.greatest("offset", F.col("block_no") * block)
     stop = F.least("end", (F.col("block_no") + 1) * block)
     pieces = cuts.select("row", "doc_id", "source", "block_no", (start - F.col("block_no") * block).cast("int").alias("at"), (start - F.col("offset")).cast("int").alias("first"), (stop - start).cast("int").alias("count"))
+    size_of = np.dtype(_width(vocabulary)).itemsize
     used = slots.join(pieces, ["source", "block_no"])
-    filled = used.join(tokens.select("row", "ids"), "row").withColumn("ids", F.slice("ids", F.col("first") + 1, "count"))
+    filled = used.join(tokens.select("row", "ids"), "row").withColumn("ids", F.substring("ids", F.col("first") * size_of + 1, F.col("count") * size_of))
     got = filled.groupBy("shard", "slot").agg(F.first("source").alias("source"), F.first("pass").alias("pass"), F.first("block_no").alias("block_no"), F.sum("count").cast("int").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("at", "doc_id", "first", "count", "ids"))).alias("x"))
-    mixed = got.select(
-        "shard", "slot", "source", "pass", "block_no", "n_tokens",
-        F.transform("x", lambda p: F.struct(p["doc_id"].alias("doc_id"), p["first"].alias("first"), p["count"].alias("count"))).alias("pieces"),
-        F.flatten(F.transform("x", lambda p: p["ids"])).alias("ids"),
-    )
+    mixed = got.select("shard", "slot", "source", "pass", "block_no", "n_tokens", "x").mapInArrow(_unpacked(vocabulary), MIXTURE)
     # What each source gives follows from its slots and blocks; the tokens of a slot needn't be read again for it.
     lengths = slots.groupBy("source", "block_no").agg(F.count("*").alias("times"))
     size = spark.createDataFrame([(s, x["tokens"]) for s, x in plans.items()], "source string, tokens long")
