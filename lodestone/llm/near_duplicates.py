@@ -15,7 +15,7 @@
 Defined results
 - a word is a longest run of a-z, 0-9 and _ in the lower-cased text; fewer than `words` words: no shingle, never similar
 - similarity is the number of common shingles over the number in either; equal sets of shingles have similarity 1
-- a key counts once; its rows are taken to have equal texts, of different ones the newest counts
+- a key counts once; its rows are taken to have equal texts (of different ones, that with the greatest hash counts)
 - null texts and keys are dropped; texts of any length are shingled whole; further columns are never read
 """
 
@@ -71,27 +71,24 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique((x * _M3).view(np.int64))
 
 
-def _class(values: np.ndarray) -> tuple[int, int]:
-    d = xxhash.xxh3_128_intdigest(values.tobytes())
-    return (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63)
+def _class(values: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(values.tobytes()) - (1 << 63)
 
 
 def _sketches(words: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ones, twos, sizes, parts = [], [], [], [], []
+            keys, ones, sizes, parts = [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 v = shingles(text, words)
                 if len(v):
-                    a, b = _class(v)
                     keys.append(key)
-                    ones.append(a)
-                    twos.append(b)
+                    ones.append(_class(v))
                     sizes.append(len(v))
                     parts.append(v[:k])
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
             flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["key", "c", "c2", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(ones, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["key", "c", "n", "sketch"])
 
     return run
 
@@ -140,10 +137,10 @@ def similar_classes(chunks: DataFrame, key: str = "chunk_id", text: str = "conte
     """Members (key, c) and verified pairs of classes (a, b, similarity), a < b."""
     spark = chunks.sparkSession
     rows = chunks.where(F.col(key).isNotNull() & F.col(text).isNotNull())
-    shingled = rows.select(F.col(key).cast("string"), text).mapInArrow(_sketches(words, sketch), "key string, c long, c2 long, n int, sketch array<long>")
-    known = written(shingled.groupBy("key").agg(F.max_by(F.struct("c", "n", "sketch"), F.struct("c", "c2")).alias("x")).select("key", "x.*"), "sketches")
-    members = known.select("key", "c")
-    classes = written(known.groupBy("c").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    shingled = rows.select(F.col(key).cast("string"), text).mapInArrow(_sketches(words, sketch), "key string, c long, n int, sketch array<long>")
+    # Shingling twice costs less than moving the sketches once for their keys and once more for their classes.
+    members = written(shingled.groupBy("key").agg(F.max("c").alias("c")), "members")
+    classes = written(shingled.groupBy("c").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     pairs = _candidates(classes, threshold, least_shared, frequent)
     side = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     both = pairs.join(side("a"), "a").where("na > 0").join(side("b"), "b").where(F.least("na", "nb") >= F.greatest("na", "nb") * threshold)
@@ -153,9 +150,8 @@ def similar_classes(chunks: DataFrame, key: str = "chunk_id", text: str = "conte
     near = written(both.where(shared >= need).select("a", "b"), "near")
     wanted = near.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     bits = spark.sparkContext.broadcast(_filter(wanted))
-    first = classes.join(wanted, "c", "left_semi").select("key", "c")
     texts = rows.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).mapInArrow(_again(words, bits), "c long, whole array<long>")
-    sets = texts.join(first.select("c"), "c", "left_semi").dropDuplicates(["c"])
+    sets = texts.join(wanted, "c", "left_semi").dropDuplicates(["c"])
     one = near.join(sets.select(F.col("c").alias("a"), F.col("whole").alias("wa")), "a")
     two = one.join(sets.select(F.col("c").alias("b"), F.col("whole").alias("wb")), "b")
     common = two.select("a", "b", F.size(F.array_intersect("wa", "wb")).alias("x"), F.size("wa").alias("na"), F.size("wb").alias("nb"))
@@ -174,7 +170,7 @@ def _again(words: int, bits):
                 v = shingles(text, words)
                 if not len(v):
                     continue
-                c = _class(v)[0]
+                c = _class(v)
                 if all(int(wanted[p >> 6]) >> (p & 63) & 1 for p in _positions(c)):
                     ones.append(c)
                     parts.append(v)
