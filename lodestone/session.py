@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIRS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def build_session(app: str = "lodestone", master: str | None = None, **conf: str) -> SparkSession:
@@ -68,5 +72,20 @@ def written(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the executors' Python workers this package, once for each application; it needn't be installed there."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="lodestone-")) / "lodestone.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    atexit.register(shutil.rmtree, archive.parent, True)
+    spark.sparkContext.addPyFile(str(archive))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
