@@ -6,8 +6,8 @@
    and only if both sets have it, so of two sets of similarity t about t k such values are shared.
 3. Inverted lists of retained values give candidates. As at least `least_shared` values are shared (what that loses is in
    `lost_pairs`), each class may leave out its `least_shared - 1` most frequent ones: rarer shared ones remain. Values that are
-   still frequent are taken in twos and then in threes, which the same count allows, so that text that many classes have in
-   common never makes all of them candidates of one another.
+   still in more than `frequent` classes are taken in twos, and twos that are in threes, which the same count allows; so text
+   that many classes have in common doesn't make all of them candidates of one another, and the lists stay short at any size.
 4. The union's sketch estimates the similarity of each candidate; those far below the threshold go.
 5. The rest are verified on their whole sets of shingles, by counting. Only classes that are in some candidate are shingled
    again; a filter of fixed size tells the scan which these are.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from lodestone.session import written
 
-WORDS, THRESHOLD, SKETCH, LEAST_SHARED, FREQUENT = 3, 0.6, 24, 5, 64
+WORDS, THRESHOLD, SKETCH, LEAST_SHARED, FREQUENT = 3, 0.6, 24, 5, 8
 _FILTER_BITS = 25
 _WORD = re.compile("[a-z0-9_]+")
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -98,6 +98,22 @@ def _positions(c: int) -> tuple[int, int]:
     return c & mask, c >> _FILTER_BITS & mask
 
 
+def _kept(bits):
+    """The classes that the filter lets pass, before their sketches are moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = bits.value
+        mask = (1 << _FILTER_BITS) - 1
+        for batch in batches:
+            c = batch.column(0).to_numpy()
+            keep = np.ones(len(c), np.bool_)
+            for p in (c & mask, c >> _FILTER_BITS & mask):
+                keep &= (wanted[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1)).astype(np.bool_)
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
 def _filter(classes: DataFrame) -> np.ndarray:
     """A Bloom filter of the classes c: 2^25 bits, however many they are; made by bit_or, so that only its words move."""
     mask = (1 << _FILTER_BITS) - 1
@@ -108,29 +124,36 @@ def _filter(classes: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def _pairs_of(lists: DataFrame) -> DataFrame:
+    """(a, b), a < b, of (key, c) whose lists are short: each list is gathered once and paired where it stands."""
+    gathered = lists.groupBy("key").agg(F.array_sort(F.collect_list("c")).alias("l")).where(F.size("l") > 1)
+    a = gathered.select("l", F.posexplode("l").alias("i", "a"))
+    return a.select("a", F.explode(F.slice("l", F.col("i") + 2, F.size("l"))).alias("b"))
+
+
 def _candidates(classes: DataFrame, threshold: float, least_shared: int, frequent: int) -> DataFrame:
-    """Distinct (a, b), a < b, of classes that share a retained value, or several where values are frequent."""
+    """Distinct (a, b), a < b, of classes that share a rare retained value, or several frequent ones."""
     each = classes.select("c", "n", F.explode("sketch").alias("v"))
     counts = each.groupBy("v").agg(F.count("*").alias("f")).where("f > 1")
     shared = each.join(counts, "v")
-    drop = F.least(F.lit(least_shared), F.ceil(F.col("n") * threshold).cast("int"))
+    need = F.least(F.lit(least_shared), F.ceil(F.col("n") * threshold).cast("int"))
     # All values that some other class has too, rarest first; values of one class only come before them and need no room.
-    ordered = written(shared.groupBy("c", "n").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("o")).select("c", drop.alias("need"), "o"), "values")
-    pairs = None
-    level = ordered.select("c", "need", "o", F.posexplode(F.transform("o", lambda x: x["v"])).alias("i", "key")).where(F.col("i") < F.size("o") - F.col("need") + 1)
-    for depth in (1, 2, 3):
-        sizes = level.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-        level = level.join(sizes, "key")
-        now = level if depth == 3 else level.where(F.col("size") <= frequent)
-        a, b = now.select("key", F.col("c").alias("a")), now.select("key", F.col("c").alias("b"))
-        found = a.join(b, "key").where("a < b").select("a", "b")
-        pairs = found if pairs is None else pairs.unionByName(found)
-        if depth == 3:
-            break
-        longer = F.transform(F.slice("o", F.col("i") + 2, F.greatest(F.lit(0), F.size("o") - F.greatest(F.col("need") - depth - 1, F.lit(0)) - F.col("i") - 1)), lambda x: x["v"])
-        level = level.where(F.col("size") > frequent).select("c", "need", "o", F.col("key").alias("before"), "i", F.posexplode(longer).alias("j", "v"))
-        level = level.select("c", "need", "o", (F.col("i") + 1 + F.col("j")).alias("i"), F.xxhash64("before", "v").alias("key"))
-    return pairs.distinct()
+    ordered = written(shared.groupBy("c", "n").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("o")).select("c", need.alias("need"), "o"), "values")
+    size = F.size("o")
+    one = ordered.select("c", "need", "o", F.posexplode("o").alias("i", "x")).where(F.col("i") < size - F.col("need") + 1)
+    # Up to a half, one common value can be all that two similar sets have, so then no value is too frequent.
+    rare = F.col("x.f") <= (frequent if threshold > 0.5 else 1 << 62)
+    pairs = _pairs_of(one.where(rare).select("c", F.col("x.v").alias("key")))
+    later = lambda at, spare: F.slice("o", F.col(at) + 2, F.greatest(F.lit(0), size - F.greatest(F.col("need") - spare, F.lit(0)) - F.col(at) - 1))
+    two = one.where(~rare).select("c", "i", F.col("x.v").alias("v"), F.posexplode(later("i", 2)).alias("j", "y"))
+    two = two.select("c", (F.col("i") + 1 + F.col("j")).alias("j"), F.xxhash64("v", "y.v").alias("key"))
+    sized = two.join(two.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
+    pairs = pairs.unionByName(_pairs_of(sized.where(F.col("size") <= frequent).select("c", "key")))
+    three = sized.where(F.col("size") > frequent).select("c", "j", F.col("key").alias("v")).join(ordered, "c")
+    three = three.select("c", "v", F.explode(later("j", 3)).alias("y")).select("c", F.xxhash64("v", "y.v").alias("key"))
+    several = three.join(three.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"), "key")
+    a, b = several.select("key", F.col("c").alias("a")), several.select("key", F.col("c").alias("b"))
+    return pairs.unionByName(a.join(b, "key").where("a < b").select("a", "b")).distinct()
 
 
 def similar_classes(chunks: DataFrame, key: str = "chunk_id", text: str = "content", words: int = WORDS, threshold: float = THRESHOLD, sketch: int = SKETCH, least_shared: int = LEAST_SHARED, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
@@ -141,8 +164,10 @@ def similar_classes(chunks: DataFrame, key: str = "chunk_id", text: str = "conte
     # Shingling twice costs less than moving the sketches once for their keys and once more for their classes.
     members = written(shingled.groupBy("key").agg(F.max("c").alias("c")), "members")
     classes = written(shingled.groupBy("c").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    pairs = _candidates(classes, threshold, least_shared, frequent)
-    side = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    pairs = written(_candidates(classes, threshold, least_shared, frequent), "candidates")
+    bits = spark.sparkContext.broadcast(_filter(pairs.select(F.explode(F.array("a", "b")).alias("c"))))
+    sketched = classes.mapInArrow(_kept(bits), "c long, n int, sketch array<long>")
+    side = lambda x: sketched.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     both = pairs.join(side("a"), "a").where("na > 0").join(side("b"), "b").where(F.least("na", "nb") >= F.greatest("na", "nb") * threshold)
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, sketch)
     shared = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
