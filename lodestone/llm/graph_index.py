@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-_BATCH = 512
+_BATCH = 1024
 
 
 @dataclass
@@ -109,7 +109,7 @@ def _spread(vectors: np.ndarray, node: np.ndarray, cand: np.ndarray, sims: np.nd
     """Of each row's candidates (best first) up to m: first those nearer to the node than to any one chosen before, then the best of the rest."""
     b, c = cand.shape
     v = vectors[cand]
-    among = np.einsum("bid,bjd->bij", v, v)
+    among = np.matmul(v, v.transpose(0, 2, 1))
     valid = (cand >= 0) & (cand != node[:, None])
     chosen = np.zeros((b, c), np.bool_)
     closest = np.full((b, c), -2, np.float32)
@@ -173,7 +173,7 @@ def _back(vectors: np.ndarray, links: np.ndarray, new: np.ndarray, m: int) -> No
         old = links[part].astype(np.int64)
         extra = np.where((extra[:, :, None] == old[:, None, :]).any(2), -1, extra)
         cand = np.concatenate([old, extra], 1)
-        sims = np.where(cand >= 0, np.einsum("bd,bcd->bc", vectors[part], vectors[cand]), -2)
+        sims = np.where(cand >= 0, np.matmul(vectors[cand], vectors[part][:, :, None])[:, :, 0], -2)
         best = np.argsort(-sims, 1, kind="stable")[:, : 3 * m]
         cand, sims = np.take_along_axis(cand, best, 1), np.take_along_axis(sims, best, 1)
         full = (cand >= 0).sum(1) > m
