@@ -38,7 +38,7 @@ SAMPLE, WORDS, BUCKETS, SMOOTH = 1500, 4000, 1 << 15, 0.01
 WORD_GAIN, TEXT_GAIN, UTF8_GAIN, ALONE_GAIN, BETTER, KNOWN, TRIED = 2.0, 9.0, 5.0, 9.0, 0.3, 4, 4
 _EDGE = ".,:;!?()[]{}\"'`*_-|<>"
 
-_WORD = re.compile("[^\x00-\x20]*[^\x00-\x7f][^\x00-\x20]*")
+_WORD = re.compile("[^\x00-\x20]+")
 _RUN = re.compile("[^\x00-\x7f]+")
 _PIECE = 32
 
@@ -97,7 +97,10 @@ def _features(word: str) -> np.ndarray:
     b = np.frombuffer(b" " + word.encode("utf-8", "replace") + b" ", np.uint8).astype(np.int64)
     wide = (b[:-1] >= 0x80) | (b[1:] >= 0x80)
     pair = (b[:-1] << 8 | b[1:])[wide]
-    return np.append(pair * 0x9E3779B1 >> 7, zlib.crc32(word.strip(_EDGE).encode("utf-8", "replace"))) % BUCKETS
+    out = np.empty(len(pair) + 1, np.int64)
+    out[:-1] = (pair * 0x9E3779B1 >> 7) % BUCKETS
+    out[-1] = zlib.crc32(word.strip(_EDGE).encode("utf-8", "replace")) % BUCKETS
+    return out
 
 
 def _pieces(word: str) -> list[str]:
@@ -108,7 +111,7 @@ def _pieces(word: str) -> list[str]:
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text)
+    return [w for w in _WORD.findall(text) if not w.isascii()]
 
 
 class Classifier:
@@ -117,6 +120,7 @@ class Classifier:
     def __init__(self, table: np.ndarray, chains: list[tuple[str, str, int]], known: set[str]):
         self.table, self.chains, self.known = table, chains, known
         self._known: dict[str, list[tuple[int, float]]] = {}
+        self.seen: dict[str, tuple[int, float, str | None]] = {}
 
     def knows(self, word: str) -> bool:
         word = word.strip(_EDGE)
@@ -216,12 +220,19 @@ def _normal(text: str) -> bool:
 
 def _evidence(model: Classifier, word: str, chains: list[tuple[int, float]]) -> tuple[int, float, str | None]:
     """(chain, what the word says for it, the word before it) of the likeliest chain whose inverse is exact and plausible, else of the one with most to say."""
-    each = [(c, *_says(model, word, c, gain)) for c, gain in chains]
-    return next((e for e in each if e[2] is not None and e[1] > 0), max(each, key=lambda e: e[1]))
+    if word not in model.seen:
+        if len(model.seen) > 300_000:
+            model.seen.clear()
+        each = [(c, *_says(model, word, c, gain)) for c, gain in chains]
+        model.seen[word] = next((e for e in each if e[2] is not None and e[1] > 0), max(each, key=lambda e: e[1]))
+    return model.seen[word]
 
 
 def _says(model: Classifier, word: str, chain: int, gain: float) -> tuple[float, str | None]:
-    before, utf8, known = _restored(model, word, chain), model.chains[chain][0] == "utf-8", model.knows(word)
+    utf8, known = model.chains[chain][0] == "utf-8", model.knows(word)
+    if known and not utf8:
+        return 0.0, None
+    before = _restored(model, word, chain)
     if before is None:
         return (gain if utf8 and not known else 0.0), None
     if model.knows(before) and (utf8 or sum(c.isalpha() for c in before) >= 2) and (utf8 or not known):
@@ -242,9 +253,9 @@ def _restored(model: Classifier, word: str, chain: int) -> str | None:
     return before if new / len(_features(before)) > old / len(_features(word)) + BETTER else None
 
 
-def repair(model: Classifier, text: str) -> tuple[str, str | None, bool] | None:
+def repair(model: Classifier, text: str, words: list[str] | None = None) -> tuple[str, str | None, bool] | None:
     """(chain, text with what could be restored, whether all could) of a garbled text; None of a clean one."""
-    words = words_of(text)
+    words = words_of(text) if words is None else words
     if not words:
         return None
     different = list(dict.fromkeys(w for w in words if "\ufffd" not in w))
@@ -289,9 +300,10 @@ def _run(model):
         for batch in batches:
             keys, found = [], []
             texts = batch.column(1).to_pylist()
-            classifier.best([w for t in texts for w in words_of(t)])  # the batch's words at once
-            for key, text in zip(batch.column(0).to_pylist(), texts):
-                if (r := repair(classifier, text)) is not None:
+            words = [words_of(t) for t in texts]
+            classifier.best([w for ws in words for w in ws])  # the batch's words at once
+            for key, text, ws in zip(batch.column(0).to_pylist(), texts, words):
+                if (r := repair(classifier, text, ws)) is not None:
                     keys.append(key)
                     found.append(r)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.bool_())], names=["doc_id", "chain", "restored", "whole"])
