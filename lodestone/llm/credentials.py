@@ -31,14 +31,14 @@ from pyspark.sql import functions as F
 
 #: What the automaton looks for, lower case.
 KEYWORDS = (
-    "pass", "pwd", "_pw", "-pw", "pw=", "pw:", "secret", "token", "apikey", "api_key", "api-key", "access_key", "access-key", "accesskey",
+    "pass", "pw", "secret", "token", "apikey", "api_key", "api-key", "access_key", "access-key", "accesskey",
     "signing", "encryption", "private key", "private_key", "privatekey", "credential", "bearer", "basic ", "login", "log in", "session", "connect", "_svc", "://", "-----begin", "auth", "account",
     "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "sk_live_", "sk_test_", "rk_live_", "xoxb-", "xoxp-", "xoxa-", "xoxr-", "aiza", "eyj", "npm_", "pypi-", "sg.", "hf_", "dop_v1_",
 )
 
 #: Published formats of issuers' tokens. A shorter one is a token cut in two by a line break in the code.
 ISSUERS = re.compile(
-    r"(?<![A-Za-z0-9_+/=-])(?:"
+    r"(?<![A-Za-z0-9_+/-])(?:"
     r"(?:AKIA|ASIA)[A-Z0-9]{6,16}"
     r"|gh[opusr]_[A-Za-z0-9]{12,}"
     r"|github_pat_[A-Za-z0-9_]{20,}"
@@ -58,7 +58,7 @@ _BOUND = re.compile(
     rf"(?P<name>{_NAME})"
     r"(?P<close>\*\*|__|[\"'`\])]{1,2})?"
     r"(?P<type>\s*:\s*(?:&'?\w*\s*)?(?:str|String|string|text|bytes|auto))?"
-    r"(?P<op>\s*(?::=|=>|->|==?|:|,|\|)\s*|\s+(?:is|was|are|of|to)\s+(?:now\s+|set\s+to\s+|currently\s+)?|\s+)"
+    r"(?P<op>\s*(?::=|=>|->|==?|:|,|\||>)\s*|(?=\(\s*[\"'`])|\s+(?:is|was|are|of|to)\s+(?:now\s+|set\s+to\s+|currently\s+)?|\s+)"
     r"(?P<open>(?:\(\s*)?(?:[rbuf]{0,2}(?:\"\"\"|'''|[\"'`])|<)?)",
     re.IGNORECASE,
 )
@@ -71,7 +71,7 @@ _PUBLIC = re.compile(r"(?i)ssh-(?:rsa|ed25519|dss)|ecdsa-sha2|-----BEGIN (?:CERT
 _NOT_A_SECRET = re.compile(r"(?i)^(?:change[_-]?me|placeholder|redacted|none|null|undefined|todo|tbd|secret|password|token|dummy|example|sample|test|n/?a|empty|true|false|\.{3,}|\*+|x+|-+|_+)$|your[-_ ]|[-_ ]here$|example|changeme|placeholder|redacted|^\W*$|^<.*>$|^\[.*\]$")
 _REFERENCE = re.compile(r"^\$|\$\{|\$\(|\{\{|^%\(|^%[A-Za-z_]+%$|^@|^#\{|^<|process\.env|os\.(?:environ|getenv)|getenv|^vault:|^secretsmanager|^ssm:|^env[.:(]|^arn:|^file:|^/(?:[a-z]+/)+|^\.{1,2}/|^~/|^https?://|://")
 _UUID = re.compile(r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
-_BLANKS, _SOLID = re.compile(r"\s*"), re.compile(r"[^\s\"'`]{0,5000}")
+_BLANKS, _SOLID = re.compile(r"\s*"), re.compile(r"[^\s\"'`<]{0,5000}")
 _LONGEST = 5000
 _MASKED = re.compile(r"^[Xx0\W_]*$")
 _QUOTES = ('"""', "'''", '"', "'", "`")
@@ -123,7 +123,7 @@ def _looks_secret(value: str, quoted: bool) -> bool:
         return False
     if re.fullmatch(r"[a-z]+(?:[._-][a-z0-9]+)*|[A-Z]+(?:_[A-Z0-9]+)*", value) and not re.fullmatch(r"[0-9a-f]{24,}|(?=.*\d.*[a-z].*\d)[a-z0-9]{10,}", value):
         return False
-    if not quoted and re.fullmatch(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+", value) and not re.search(r"\d{3}", value):
+    if not quoted and re.fullmatch(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+", value) and len(value) < 60 and not re.search(r"\d{3}", value):
         return False
     if re.fullmatch(r"[A-Za-z]+\d{0,2}(?:[A-Z][a-z]+\d{0,2})*", value) and not quoted and len(value) < 24:
         return False
@@ -241,7 +241,12 @@ def _on_line(text: str, low: int, high: int) -> Iterator[tuple[int, int]]:
             continue
         start, end, quoted = _value_at(text, low + m.end(), m.group("open"), high)
         value = text[start:end]
-        if _looks_secret(value, quoted) and (quoted or flag or _strong(value)):
+        if m.group("op").strip() and value and start <= high:
+            at = max(at, min(end, high) - low)  # a placeholder's own words bind nothing
+        whole, stop = value, end
+        while quoted and len(whole) < _LONGEST and (more := _GOES_ON.match(text, stop)):  # strings put together over lines
+            whole, stop = whole + more.group("value"), more.end("value")
+        if start < end and _looks_secret(whole, quoted) and (quoted or flag or _strong(value)):
             yield start, end
 
 
