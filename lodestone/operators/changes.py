@@ -98,7 +98,7 @@ def changed_lines(diffs: DataFrame, key: str = "key", diff: str = "diff") -> Dat
     lines = lines.withColumn("hunk", F.sum(header.cast("int")).over(upto)).where("hunk > 0")
     start = F.regexp_extract("line", "\\+(\\d+)", 1)
     length = F.regexp_extract("line", "\\+\\d+,(\\d+)", 1)
-    lines = lines.withColumns({"header": F.col("line").rlike("^@@ .* @@"), "start": F.when(F.col("line").rlike("^@@ "), start.cast("int")), "length": F.when(F.col("line").rlike("^@@ "), F.when(length == "", 1).otherwise(length.try_cast("int")))})
+    lines = lines.withColumns({"header": F.col("line").rlike("^@@ .* @@"), "start": F.when(F.col("line").rlike("^@@ "), start.try_cast("int")), "length": F.when(F.col("line").rlike("^@@ "), F.when(length == "", 1).otherwise(length.try_cast("int")))})
     inside = W.partitionBy("key", "hunk").orderBy("i")
     begin = F.first("start").over(inside.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     advances = (~F.col("header") & ~F.col("line").rlike("^[-\\\\]")).cast("int")

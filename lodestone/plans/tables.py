@@ -274,3 +274,26 @@ def unit_vectors(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("embedding")
     total = F.aggregate(vectors.l2_normalized(v), F.lit(0.0), lambda s, x: s + x)
     return table(spark, d, "embeddings").select("vec_id", F.round(vectors.norm(v), 6).alias("norm"), F.round(total, 6).alias("unit_sum"))
+
+
+@_query(r"""SELECT doc_id, len(regexp_extract_all(text, '(?m)^## \[[^\]\n]+\]')) AS commits, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?m)^\*\*Author:\*\*[ \t]*([^\r\n]*)', 1), lambda x: trim(x)))), ',') AS authors
+    FROM documents WHERE lower(trim(source)) = 'changelog' AND text IS NOT NULL""")
+def changelog_statistics(spark: SparkSession, d: str) -> DataFrame:
+    from lodestone.functions import responses
+
+    t = F.col("text")
+    logs = table(spark, d, "documents").where("lower(trim(source)) = 'changelog' and text is not null")
+    return logs.select("doc_id", responses.changelog_commits(t).cast("long").alias("commits"), F.array_join(F.array_sort(responses.changelog_authors(t)), ",").alias("authors"))
+
+
+#: The words issues are attributed by.
+_KINDS = "class function method interface module enum struct section".split()
+
+
+@_query(f"""SELECT doc_id, unnest(CASE WHEN len(k) > 0 THEN k ELSE ['unattributed'] END) AS kind FROM
+    (SELECT doc_id, list_filter([{", ".join(repr(k) for k in _KINDS)}], lambda x: contains(lower(text), x)) AS k FROM documents WHERE text IS NOT NULL)""")
+def attributed_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by the kinds of symbol they name; those that name none stay, as unattributed."""
+    kinds = F.filter(F.array(*map(F.lit, _KINDS)), lambda k: F.lower("text").contains(k))
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", kinds.alias("k"))
+    return docs.select("doc_id", F.explode(F.when(F.size("k") > 0, F.col("k")).otherwise(F.array(F.lit("unattributed")))).alias("kind"))
