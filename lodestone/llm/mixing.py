@@ -1,12 +1,13 @@
 """Documents of several sources mixed so that each source makes up its share of all tokens.
 
 1. Every document's length in tokens is counted once. Within its source it gets a place in a pseudorandom order and, by prefix
-   sums over hash ranges, an offset; so each source is a stream of tokens, cut into blocks of `block` tokens (the
+   sums over hash ranges (as many as keep to about `PER_RANGE` documents each), an offset; so each source is a stream of tokens, cut into blocks of `block` tokens (the
    last one may be shorter). A block names its pieces: document, first token, number of tokens.
 2. The size of the mixture is the largest at which no source with documents needs more than max_repeats passes. Shares of sources
    without documents go to the others in proportion. Blocks for each source follow by largest remainders.
 3. Output shards draw how many blocks of each source they get from a multinomial law conditioned on those totals, so
-   shards differ as in free sampling and the totals, and with them the caps, hold exactly.
+   shards differ as in free sampling and the totals, and with them the caps, hold exactly. This is done on the driver, a row for
+   each shard and source; `shard_blocks` sets how many shards there are.
 4. The slots of a source, numbered through all shards, are mapped to its blocks by one pseudorandom permutation of the block
    numbers for each pass, so no block comes a second time before all have come once.
 5. Slots and blocks are joined by source and block number.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.tokens import VOCABULARY, encoder
 from lodestone.session import written
 
-BLOCK, SHARD_BLOCKS, SEED, RANGES = 256, 1024, 11, 64
+BLOCK, SHARD_BLOCKS, SEED, RANGES, PER_RANGE = 256, 1024, 11, 64, 500_000
 
 MIXTURE = "shard int, slot int, source string, pass int, block_no long, n_tokens int, pieces array<struct<doc_id:long,first:int,count:int>>, ids array<int>"
 
@@ -85,14 +86,14 @@ def _unpacked(vocabulary: str):
     return run
 
 
-def offsets(docs: DataFrame, seed: int = SEED) -> DataFrame:
+def offsets(docs: DataFrame, seed: int = SEED, ranges: int = RANGES) -> DataFrame:
     """docs (row, doc_id, source, n, t) with the offset of each in its source's stream: prefix sums within hash ranges plus those of the ranges before."""
     h = F.xxhash64("doc_id", F.lit(seed))
-    ranged = docs.withColumns({"h": h, "range": F.pmod(F.shiftright(h, 40), F.lit(RANGES)).cast("int")})
+    ranged = docs.withColumns({"h": h, "range": F.pmod(F.shiftright(h, 40), F.lit(ranges)).cast("int")})
     sums = ranged.groupBy("source", "range").agg(F.sum("n").alias("in_range"))
     before = sums.withColumn("before", F.sum("in_range").over(W.partitionBy("source").orderBy("range")) - F.col("in_range")).drop("in_range")
     inside = F.sum("n").over(W.partitionBy("source", "range").orderBy("h", "doc_id", "t").rowsBetween(W.unboundedPreceding, -1))
-    return ranged.withColumn("inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(before), ["source", "range"]).withColumn("offset", F.col("inside") + F.col("before")).drop("h", "t", "range", "inside", "before")
+    return ranged.withColumn("inside", F.coalesce(inside, F.lit(0))).join(before, ["source", "range"]).withColumn("offset", F.col("inside") + F.col("before")).drop("h", "t", "range", "inside", "before")
 
 
 def plan(sizes: dict[str, int], targets: dict[str, tuple[float, int]], block: int) -> dict[str, dict]:
@@ -162,7 +163,9 @@ def mixture(documents: DataFrame, targets: DataFrame, block: int = BLOCK, shard_
         wanted[r.source] = old[0] + max(0.0, r.target_share or 0.0), max(old[1], 1 if r.max_repeats is None else r.max_repeats)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), same_source(F.col("source")).alias("source"), "text").where(F.col("source").isin(list(wanted)) if wanted else F.lit(False))
     tokens = written(rows.mapInArrow(_tokenized(vocabulary), "doc_id long, source string, n int, ids binary").where("n > 0").withColumns({"t": F.xxhash64("ids"), "row": F.monotonically_increasing_id()}), "tokens")
-    sizes = {r.source: r.n for r in tokens.groupBy("source").agg(F.sum("n").alias("n")).collect()}
+    found = tokens.groupBy("source").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).collect()
+    sizes = {r.source: r.n for r in found}
+    ranges = max(RANGES, -(-max((r.docs for r in found), default=0) // PER_RANGE))
     plans = plan(sizes, wanted, block)
     drawn = draw({s: x["slots"] for s, x in plans.items()}, shard_blocks, seed)
     counts = spark.createDataFrame([(sh, s, a, n, plans[s]["blocks"], abs(hash_of(s, seed))) for sh, s, a, n in drawn], "shard int, source string, first long, count int, blocks long, key long")
@@ -170,7 +173,7 @@ def mixture(documents: DataFrame, targets: DataFrame, block: int = BLOCK, shard_
     order = W.partitionBy("shard").orderBy(F.xxhash64("shard", "source", "number", F.lit(seed)), "source", "number")
     slots = each.withColumn("slot", (F.row_number().over(order) - 1).cast("int"))
     slots = slots.mapInPandas(_blocks_of, "shard int, slot int, source string, pass int, block_no long")
-    placed = offsets(tokens.select("row", "doc_id", "source", "n", "t"), seed)
+    placed = offsets(tokens.select("row", "doc_id", "source", "n", "t"), seed, ranges)
     end = F.col("offset") + F.col("n")
     cuts = placed.select("row", "doc_id", "source", "offset", end.alias("end"), F.explode(F.expr(f"sequence(floor(offset / {block}), floor((offset + n - 1) / {block}))")).alias("block_no"))
     start = F.greatest("offset", F.col("block_no") * block)

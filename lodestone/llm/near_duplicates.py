@@ -131,6 +131,12 @@ def _pairs_of(lists: DataFrame) -> DataFrame:
     return a.select("a", F.explode(F.slice("l", F.col("i") + 2, F.size("l"))).alias("b"))
 
 
+def _joined(lists: DataFrame) -> DataFrame:
+    """(a, b), a < b, of (key, c) whose lists may be long: a join, which splits what is skewed."""
+    a, b = lists.select("key", F.col("c").alias("a")), lists.select("key", F.col("c").alias("b"))
+    return a.join(b, "key").where("a < b").select("a", "b")
+
+
 def _candidates(classes: DataFrame, threshold: float, least_shared: int, frequent: int) -> DataFrame:
     """Distinct (a, b), a < b, of classes that share a rare retained value, or several frequent ones."""
     each = classes.select("c", "n", F.explode("sketch").alias("v"))
@@ -141,9 +147,10 @@ def _candidates(classes: DataFrame, threshold: float, least_shared: int, frequen
     ordered = written(shared.groupBy("c", "n").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("o")).select("c", need.alias("need"), "o"), "values")
     size = F.size("o")
     one = ordered.select("c", "need", "o", F.posexplode("o").alias("i", "x")).where(F.col("i") < size - F.col("need") + 1)
-    # Up to a half, one common value can be all that two similar sets have, so then no value is too frequent.
-    rare = F.col("x.f") <= (frequent if threshold > 0.5 else 1 << 62)
+    rare = F.col("x.f") <= frequent
     pairs = _pairs_of(one.where(rare).select("c", F.col("x.v").alias("key")))
+    if threshold <= 0.5:  # one common value can be all that two similar sets have, so frequent ones can't wait for a second
+        return pairs.unionByName(_joined(one.where(~rare).select("c", F.col("x.v").alias("key")))).distinct()
     later = lambda at, spare: F.slice("o", F.col(at) + 2, F.greatest(F.lit(0), size - F.greatest(F.col("need") - spare, F.lit(0)) - F.col(at) - 1))
     two = one.where(~rare).select("c", "i", F.col("x.v").alias("v"), F.posexplode(later("i", 2)).alias("j", "y"))
     two = two.select("c", (F.col("i") + 1 + F.col("j")).alias("j"), F.xxhash64("v", "y.v").alias("key"))
@@ -152,8 +159,7 @@ def _candidates(classes: DataFrame, threshold: float, least_shared: int, frequen
     three = sized.where(F.col("size") > frequent).select("c", "j", F.col("key").alias("v")).join(ordered, "c")
     three = three.select("c", "v", F.explode(later("j", 3)).alias("y")).select("c", F.xxhash64("v", "y.v").alias("key"))
     several = three.join(three.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"), "key")
-    a, b = several.select("key", F.col("c").alias("a")), several.select("key", F.col("c").alias("b"))
-    return pairs.unionByName(a.join(b, "key").where("a < b").select("a", "b")).distinct()
+    return pairs.unionByName(_joined(several)).distinct()
 
 
 def similar_classes(chunks: DataFrame, key: str = "chunk_id", text: str = "content", words: int = WORDS, threshold: float = THRESHOLD, sketch: int = SKETCH, least_shared: int = LEAST_SHARED, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:

@@ -71,3 +71,10 @@ def test_copies_and_empty(spark):
     classes = {r.chunk_id: (r.copies, r.links) for r in nd.near_duplicates(df, threshold=0.5).collect()}
     assert classes["c00"] == (11, 1) and classes["d"] == (0, 1) and classes["e"] == (0, 0)
     assert nd.near_duplicate_pairs(df.limit(0)).collect() == [] and nd.near_duplicates(df.where(F.lit(False))).collect() == []
+
+
+def test_low_threshold_and_many_frequent_values(spark):
+    rows = _corpus(120, 7, boiler=30)
+    got = {tuple(r) for r in nd.near_duplicate_pairs(_frame(spark, rows), threshold=0.4, frequent=3, least_shared=2).collect()}
+    want = _brute(rows, 0.4)
+    assert got <= want and len(got) >= 0.99 * len(want)
