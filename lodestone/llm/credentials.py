@@ -4,9 +4,9 @@
    with a keyword, and the line after, are looked at further.
 2. On these lines come the formats that issuers publish (prefix, alphabet, length), key blocks, connection strings, and values
    bound to a name that says password, key, token or secret.
-3. A value stays if its structure holds: a JWT's header must decode to JSON, an issuer's token must not be too uniform, a
-   named value must look random or like a chosen password. Placeholders, references, public keys, certificates, digests and
-   identifiers go.
+3. A value stays if its structure holds: a JWT's header must decode to JSON, an issuer's token must not be too uniform and be
+   of full length or hold a digit, a named value must look random or like a chosen password, by digits or, without any, by its
+   case and pairs of letters. Placeholders, references, public keys, certificates, digests and identifiers go.
 4. Each value is masked character by character with one of the same kind (upper case, lower case, digit; everything else
    stays), so neither lengths nor quoting nor line breaks change. Masked values are not found again.
 
@@ -50,6 +50,12 @@ ISSUERS = re.compile(
     r"|npm_[A-Za-z0-9]{16,}|pypi-[A-Za-z0-9_-]{16,}|SG\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}|hf_[A-Za-z0-9]{16,}|dop_v1_[a-f0-9]{32,}"
     r")"
 )
+#: The formats at the length at which they are issued.
+_FULL = re.compile(
+    r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[opusr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9]{22}_[A-Za-z0-9]{59}|glpat-[A-Za-z0-9_-]{20,}|(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{24,}"
+    r"|AIza[A-Za-z0-9_-]{35}|npm_[A-Za-z0-9]{36}|pypi-[A-Za-z0-9_-]{50,}|SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}|hf_[A-Za-z0-9]{34,}|dop_v1_[a-f0-9]{64}"
+)
+_STAND_IN = re.compile(r"(?i)example|your|token|here|placeholder|secret|dummy|fake|sample|insert|replace|redacted|changeme|abcdef")
 _BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]{1,20} ){0,5}PRIVATE KEY(?: BLOCK)?)-----")
 _URL = re.compile(r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{0,30}://[^\s:/@\"'`<>]{0,200}:([^\s@/\"'`]{1,1000})@(?=[\w\[])")
 _WORD = r"(?:pass|passwd|password|passphrase|pwd|secret|token|api[_.-]?key|access[_.-]?key|secret[_.-]?key|private[_.-]?key|signing[_.-]?key|encryption[_.-]?key|credentials?|dbpass|pw)"
@@ -109,7 +115,30 @@ def _issued(value: str) -> bool:
         except ValueError:
             return "." not in value and decoded.startswith(b'{"alg"')
     body = value.split("_")[-1] if "_" in value[:12] else value[4:]
-    return not _uniform(body) and any(c.isdigit() for c in value) and "EXAMPLE" not in value
+    if _uniform(body) or "EXAMPLE" in value:
+        return False
+    if any(c.isdigit() for c in value):
+        return True
+    return _FULL.fullmatch(value) is not None and not _STAND_IN.search(body) and (value.isupper() or not (body.islower() or body.isupper()))
+
+
+_PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_ODD_PAIR = re.compile(r"(?=[jqxzv][bcdfghjkmnpqrtvwxz]|[bcdfghjkmpqtvwxz][jqxzvk](?<!ck)|[fghjkpq][bcdfgjkmpqvwxz](?<!ff)(?<!gg)(?<!pp))")
+
+
+def _random_letters(value: str) -> bool:
+    """Without any digit: case that changes more often than words begin, or pairs of letters that words don't have."""
+    letters = re.sub(r"[^A-Za-z]", "", value)
+    if len(letters) < 12 or _STAND_IN.search(value):
+        return False
+    if not (letters.islower() or letters.isupper()):
+        return len(letters) < 3 * len(_PIECE.findall(letters)) and len(re.findall("[A-Z]", letters)) > len(letters) / 5
+    return len(letters) >= 16 and len(_ODD_PAIR.findall(letters.lower())) >= max(3, len(letters) / 8)
+
+
+def _chosen_letters(value: str) -> bool:
+    """Without any digit: a password of both cases with a symbol inside."""
+    return len(value) >= 8 and re.search(r"[A-Za-z][!#$%^&*~?+][A-Za-z]", value) is not None and re.fullmatch(r"[A-Za-z!#$%^&*~?+_.-]+", value) is not None and not (value.islower() or value.isupper()) and not _STAND_IN.search(value)
 
 
 def _looks_secret(value: str, quoted: bool) -> bool:
@@ -119,8 +148,10 @@ def _looks_secret(value: str, quoted: bool) -> bool:
     if any(c.isspace() for c in value) or any(c in value for c in "(){}[]<>;,") or not value.isascii():
         return False
     digits, upper, lower = (any(f(c) for c in value) for f in (str.isdigit, str.isupper, str.islower))
-    if not digits or not (upper or lower):
+    if not (upper or lower):
         return False
+    if not digits:
+        return _random_letters(value) or quoted and _chosen_letters(value)
     if re.fullmatch(r"[a-z]+(?:[._-][a-z0-9]+)*|[A-Z]+(?:_[A-Z0-9]+)*", value) and not re.fullmatch(r"[0-9a-f]{24,}|(?=.*\d.*[a-z].*\d)[a-z0-9]{10,}", value):
         return False
     if not quoted and re.fullmatch(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+", value) and len(value) < 60 and not re.search(r"\d{3}", value):
@@ -155,6 +186,13 @@ def _key_block(text: str, start: int, kind: str) -> int:
 _GOES_ON = re.compile(r"[\"'`]\s*[+.\\\\]?\s*\n\s*[+.]?\s*[\"'`](?P<value>[A-Za-z0-9+/=_.!#$?@-]+)(?=[\"'`])")
 
 
+def _continued(text: str, at: int) -> Iterator[re.Match]:
+    """The strings that continue the one that ends at `at`."""
+    while m := _GOES_ON.match(text, at):
+        at = m.end("value")
+        yield m
+
+
 def find(text: str | None) -> list[tuple[int, int]]:
     """(start, end) of each credential value in text, in order, none inside another."""
     return [s for s in find_parts(text) if s[2]]
@@ -187,9 +225,10 @@ def find_parts(text: str | None) -> list[tuple[int, int, bool]]:
     parts = []
     for (a, b), (following, _) in zip(kept, [*kept[1:], (len(text) + 1, 0)]):
         parts.append((a, b, True))
-        while (m := _GOES_ON.match(text, b)) and m.end("value") <= following:
-            a, b = m.span("value")
-            parts.append((a, b, False))
+        for m in _continued(text, b):
+            if m.end("value") > following:
+                break
+            parts.append((*m.span("value"), False))
     return parts
 
 
@@ -212,7 +251,12 @@ def _on_line(text: str, low: int, high: int) -> Iterator[tuple[int, int]]:
         if not (_MASKED.match(body) or _REFERENCE.search(body[:20]) or _NOT_A_SECRET.search(body[:40])) or not body:
             yield low + m.start(), end
     for m in ISSUERS.finditer(line):
-        if _issued(m.group()):
+        whole = m.group()
+        if not any(c.isdigit() for c in whole):  # cut over lines, only the whole shows its length
+            whole += "".join(more.group("value") for more in _continued(text, low + m.end()))
+            if not _FULL.fullmatch(whole) and not whole.startswith("eyJ") or line[m.end() : m.end() + 1].isalnum():
+                continue
+        if _issued(whole):
             yield low + m.start(), low + m.end()
     if _PUBLIC.search(line) and not _URL.search(line):
         return
@@ -252,7 +296,9 @@ def _on_line(text: str, low: int, high: int) -> Iterator[tuple[int, int]]:
 
 def _strong(value: str) -> bool:
     """Enough by itself outside of quotes: no plain name, call or path."""
-    return bool(re.search(r"\d", value)) and not re.fullmatch(r"[a-z]+(?:[A-Z]\w*)*\d*|[A-Za-z_]\w*\.\w+(?:\.\w+)*", value)
+    if not re.search(r"\d", value):
+        return _random_letters(value)
+    return not re.fullmatch(r"[a-z]+(?:[A-Z]\w*)*\d*|[A-Za-z_]\w*\.\w+(?:\.\w+)*", value)
 
 
 def mask(text: str | None, spans: list[tuple[int, int, bool]]) -> str | None:
