@@ -8,6 +8,7 @@
    `lost_pairs`), each class may leave out its `least_shared - 1` most frequent ones: rarer shared ones remain. Values that are
    still in more than `frequent` classes are taken in twos, and twos that are in threes, which the same count allows; so text
    that many classes have in common doesn't make all of them candidates of one another, and the lists stay short at any size.
+   Classes of so few shingles that one or two values can be all they share are also joined on frequent ones and twos.
 4. The union's sketch estimates the similarity of each candidate; those far below the threshold go.
 5. The rest are verified on their whole sets of shingles, by counting. Only classes that are in some candidate are shingled
    again; a filter of fixed size tells the scan which these are.
@@ -137,25 +138,37 @@ def _joined(lists: DataFrame) -> DataFrame:
     return a.join(b, "key").where("a < b").select("a", "b")
 
 
+def _few(lists: DataFrame, shared: int, threshold: float) -> DataFrame:
+    """(a, b), a < b, of (key, c, n) that share a key of `shared` values and, by their sizes, may be similar without any more.
+
+    n is null if the sketch is not the whole set; such classes may share values outside of it.
+    """
+    a, b = lists.select("key", F.col("c").alias("a"), F.col("n").alias("na")), lists.select("key", F.col("c").alias("b"), F.col("n").alias("nb"))
+    enough = F.coalesce((F.col("na") + F.col("nb") - shared) * threshold <= shared + 1e-6, F.lit(True))
+    return a.join(b, "key").where(F.col("a") < F.col("b")).where(enough).select("a", "b")
+
+
 def _candidates(classes: DataFrame, threshold: float, least_shared: int, frequent: int) -> DataFrame:
     """Distinct (a, b), a < b, of classes that share a rare retained value, or several frequent ones."""
-    each = classes.select("c", "n", F.explode("sketch").alias("v"))
+    each = classes.select("c", "n", (F.size("sketch") == F.col("n")).alias("whole"), F.explode("sketch").alias("v"))
     counts = each.groupBy("v").agg(F.count("*").alias("f")).where("f > 1")
     shared = each.join(counts, "v")
     need = F.least(F.lit(least_shared), F.ceil(F.col("n") * threshold).cast("int"))
     # All values that some other class has too, rarest first; values of one class only come before them and need no room.
-    ordered = written(shared.groupBy("c", "n").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("o")).select("c", need.alias("need"), "o"), "values")
+    ordered = written(shared.groupBy("c", "n", "whole").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("o")).select("c", need.alias("need"), F.when(F.col("whole"), F.col("n")).alias("n"), "o"), "values")
     size = F.size("o")
-    one = ordered.select("c", "need", "o", F.posexplode("o").alias("i", "x")).where(F.col("i") < size - F.col("need") + 1)
+    one = ordered.select("c", "need", "n", "o", F.posexplode("o").alias("i", "x")).where(F.col("i") < size - F.col("need") + 1)
     rare = F.col("x.f") <= frequent
     pairs = _pairs_of(one.where(rare).select("c", F.col("x.v").alias("key")))
     if threshold <= 0.5:  # one common value can be all that two similar sets have, so frequent ones can't wait for a second
         return pairs.unionByName(_joined(one.where(~rare).select("c", F.col("x.v").alias("key")))).distinct()
+    pairs = pairs.unionByName(_few(one.where(~rare & (F.col("need") < 2)).select("c", "n", F.col("x.v").alias("key")), 1, threshold))
     later = lambda at, spare: F.slice("o", F.col(at) + 2, F.greatest(F.lit(0), size - F.greatest(F.col("need") - spare, F.lit(0)) - F.col(at) - 1))
-    two = one.where(~rare).select("c", "i", F.col("x.v").alias("v"), F.posexplode(later("i", 2)).alias("j", "y"))
-    two = two.select("c", (F.col("i") + 1 + F.col("j")).alias("j"), F.xxhash64("v", "y.v").alias("key"))
+    two = one.where(~rare).select("c", "need", "n", "i", F.col("x.v").alias("v"), F.posexplode(later("i", 2)).alias("j", "y"))
+    two = two.select("c", "need", "n", (F.col("i") + 1 + F.col("j")).alias("j"), F.xxhash64("v", "y.v").alias("key"))
     sized = two.join(two.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
     pairs = pairs.unionByName(_pairs_of(sized.where(F.col("size") <= frequent).select("c", "key")))
+    pairs = pairs.unionByName(_few(sized.where((F.col("size") > frequent) & (F.col("need") < 3)).select("c", "n", "key"), 2, threshold))
     three = sized.where(F.col("size") > frequent).select("c", "j", F.col("key").alias("v")).join(ordered, "c")
     three = three.select("c", "v", F.explode(later("j", 3)).alias("y")).select("c", F.xxhash64("v", "y.v").alias("key"))
     several = three.join(three.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"), "key")

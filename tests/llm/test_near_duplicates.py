@@ -78,3 +78,18 @@ def test_low_threshold_and_many_frequent_values(spark):
     got = {tuple(r) for r in nd.near_duplicate_pairs(_frame(spark, rows), threshold=0.4, frequent=3, least_shared=2).collect()}
     want = _brute(rows, 0.4)
     assert got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_short_texts_in_many_classes(spark):
+    rows = [("s", "a b c d"), ("r", "e f e f e f")] + [(f"x{i:02d}", f"a b c d x{i}") for i in range(9)] + [(f"y{i:02d}", f"e f e f y{i}") for i in range(20)]
+    want = _brute(rows)
+    assert len(want) >= 29
+    assert {tuple(r) for r in nd.near_duplicate_pairs(_frame(spark, rows)).collect()} == want
+    links = {r.chunk_id: r.links for r in nd.near_duplicates(_frame(spark, rows)).collect()}
+    assert links["s"] == 9 and links["r"] == 20 and links["x00"] == 1
+
+
+def test_a_single_shared_value_can_do(spark):
+    rows = _corpus(120, 9, boiler=30) + [(f"x{i:02d}", f"a b c d x{i}") for i in range(12)] + [("s", "a b c d")]
+    got = {tuple(r) for r in nd.near_duplicate_pairs(_frame(spark, rows), frequent=3, least_shared=1).collect()}
+    assert got == _brute(rows)
