@@ -6,7 +6,8 @@
 3. The measures are sums, so a file's are those of its chunks; contents are never moved.
 4. A file is minified if its names look mangled and its lines run on, generated if a few templates make nearly all of its lines, data
    if literals do, vendored if its names follow another language's style; and any of these if its path or a leading comment
-   says so. Comments count only outside of string literals and only with the wording of generators, licences and copies.
+   says so. Comments count only outside of string literals and only with the wording of generators, licences and copies; they
+   are read from the start of each chunk to its first line of code, however many they are, and in its first 12 lines.
 
 Defined results
 - a chunk_id counts once, with its newest row; a file is (repository, file_path), both not null
@@ -36,6 +37,11 @@ MINIFIED_PATH = r"\.min\.(?:js|css|mjs)$|[-.]bundle\.(?:\w+\.)?(?:js|mjs|css)$"
 VENDORED_PATH = r"(?:^|/)(?:vendor|vendors|third_party|third-party|thirdparty|external|deps|node_modules|bower_components|Pods|Carthage|site-packages|dist-packages)/"
 
 _LEADING = 12
+#: What may stand before and between leading comments without being code.
+_PREAMBLE = re.compile(r"^\ufeff?\s*(?:<\?php|<\?xml\b.*|<!DOCTYPE\b.*|<%|---|%YAML.*|@charset\b.*|([\"'])use strict\1;?|)\s*$", re.IGNORECASE)
+#: Languages whose lines that begin with # are code, and those in which lines that begin with // or /* are no comments.
+_HASH_IS_CODE = {"c", "cpp", "csharp", "css", "javascript", "typescript", "java", "go", "rust", "swift", "kotlin", "scala"}
+_SLASH_IS_CODE = {"python", "ruby"}
 _COMMENT = re.compile(r"^\s*(?://+|#+!?|/\*+!?|\*+|--|<!--|;+)\s?(.*)")
 _GENERATED = re.compile(
     r"(?i)\b(?:code|file|class|module|source)\s+(?:is|was|has been)?\s*(?:automatically |auto-?)?generated\s+(?:by|from|with|using)\b|@generated\b|<auto-?generated|\bauto-?generated\s+(?:by|from|with|using)\b|\bautomatically generated\b"
@@ -113,19 +119,55 @@ class Names:
         return self._known[key]
 
 
+def _leading(lines: list[str], lang: str) -> Iterator[str]:
+    """The comment lines before the first line of code, without blank ones; text inside of block comments needs no mark."""
+    closing, first, starred = "", True, lang != "other"
+    for x in lines:
+        said = x.strip().lstrip("\ufeff")
+        if closing:
+            yield said
+            rest = said.partition(closing)[2] if closing in said else None
+        elif lang not in _SLASH_IS_CODE and said.startswith(("/*", "<!--")):
+            closing = "*/" if said.startswith("/*") else "-->"
+            yield said
+            rest = said.partition(closing)[2] if closing in said[2:] else None
+        elif (
+            lang not in _SLASH_IS_CODE and said.startswith("//")
+            or lang not in _HASH_IS_CODE and said.startswith("#") and not said.startswith("#[")
+            or said.startswith("#!") and first
+            or lang == "other" and said.startswith(("--", ";")) and not said.startswith("---")
+            or starred and (said == "*" or said.startswith(("* ", "*/")))  # the chunk begins inside a block
+        ):
+            starred = starred and said.startswith("*") and "*/" not in said
+            yield said
+            rest = None
+        elif _PREAMBLE.match(x):
+            rest = None
+        else:
+            return
+        first, starred = False, starred and said.startswith("*")
+        if rest is not None:
+            closing = ""
+            if rest.strip() and not rest.strip().startswith(("//", "/*")):
+                return
+
+
+def _said(line: str) -> str:
+    m = _COMMENT.match(line)
+    return m.group(1) if m else line
+
+
 def measure(names: Names, lang: str, text: str | None) -> list[float]:
     """The features of one chunk, in the order of _FEATURES; all of them add up over chunks."""
     out = dict.fromkeys(_FEATURES, 0.0)
     if not text or not text.strip():
         return list(out.values())
     lines = [x for x in text.split("\n") if x.strip()]
-    for x in lines[:_LEADING]:
-        m = _COMMENT.match(x)
-        if m:
-            said = m.group(1)
-            out["says_generated"] += bool(_GENERATED.search(said))
-            out["says_vendored"] += bool(_VENDORED.search(said))
-            out["banner"] += bool(_BANNER.match(x.strip()))
+    for x in {*(x.strip() for x in lines[:_LEADING] if _COMMENT.match(x)), *_leading(lines, lang)}:
+        said = _said(x)
+        out["says_generated"] += bool(_GENERATED.search(said))
+        out["says_vendored"] += bool(_VENDORED.search(said))
+        out["banner"] += bool(_BANNER.match(x))
     if lang == "other":
         return list(out.values())
     templates: Counter = Counter()

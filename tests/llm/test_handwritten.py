@@ -64,3 +64,17 @@ def test_very_long_text():
     n = h.Names([("javascript", "abc", 5)])
     m = dict(zip(h._FEATURES, h.measure(n, "javascript", "a.b(c);" * 200_000)))
     assert m["long_chars"] == m["chars"] == 1_400_000
+
+
+def test_markers_after_long_leading_comments():
+    n = h.Names([])
+    says = lambda text, lang="go": h.measure(n, lang, text)[h._FEATURES.index("says_generated")] > 0
+    licence = [f"licence line {i}" for i in range(40)]
+    mark, code = "Code generated by deepcopy-gen. DO NOT EDIT.", "package a\n" + "x := 1\n" * 20
+    assert says("/*\n" + "\n".join(licence) + "\n*/\n\n// " + mark + "\n" + code)
+    assert says("/*\n" + "\n".join(licence) + "\n" + mark + "\n*/\n" + code)
+    assert says("<?php\n" + "\n".join("// " + x for x in licence) + "\n// " + mark + "\n", "php")
+    assert says("#!/bin/sh\n" + "\n".join("# " + x for x in licence) + "\n# " + mark + "\nset -e\n", "other")
+    assert not says("/*\n" + "\n".join(licence) + "\n*/\n" + code + "// " + mark + "\n")
+    assert not says("\n".join("// " + x for x in licence) + "\ns := 1\n// " + mark + "\n")
+    assert not says("/* " + licence[0] + " */\n" + "\n".join("#include <a>" for _ in range(15)) + "\n// " + mark + "\n", "c")
