@@ -176,11 +176,36 @@ def _value_at(text: str, at: int, opened: str, high: int) -> tuple[int, int, boo
     return at, end, False
 
 
+_KEY_GAP = re.compile(r"(?:\\+[nrt]|[\s\"'`\\,;.&()|#>*]|\+(?=\s)|//(?=\s))*")
+_KEY_HEAD = re.compile(r"(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID)[ \t]*:(?:(?!\\+[nr])[^\n\"'`])*")
+_KEY_RUN = re.compile(r"=?[A-Za-z0-9+/]+={0,2}")
+_KEY_LEAST = 20
+
+
 def _key_block(text: str, start: int, kind: str) -> int:
+    """Where the key after a BEGIN ends: at its END, else with the last piece that can be key body; -1 without any body."""
     nxt = text.find("-----BEGIN ", start)
     nxt = len(text) if nxt < 0 else nxt
     end = text.find(f"-----END {kind}-----", start, nxt)
-    return nxt if end < 0 else end
+    if end >= 0:
+        return end if re.search(r"[A-Za-z0-9+/=]{16}|\$\{|\*{4}", re.sub(r"\\+[nrt]", "\n", text[start:end])) else -1
+    at, last, longest = start, -1, 0
+    while True:
+        at = _KEY_GAP.match(text, at, nxt).end()
+        if m := _KEY_HEAD.match(text, at, nxt):
+            at = m.end()
+            continue
+        m = _KEY_RUN.match(text, at, nxt)
+        if not m:
+            return last
+        run = m.group()
+        mixed = re.search(r"[0-9+/=]", run) or _random_letters(run)
+        if len(run) < _KEY_LEAST and not (longest and len(run) < longest) or not mixed:
+            return last
+        at = last = m.end()
+        if len(run) < longest and not run.endswith("=") and len(run) < _KEY_LEAST:
+            return last  # the last line of a key is its only short one
+        longest = max(longest, len(run))
 
 
 _GOES_ON = re.compile(r"[\"'`]\s*[+.\\\\]?\s*\n\s*[+.]?\s*[\"'`](?P<value>[A-Za-z0-9+/=_.!#$?@-]+)(?=[\"'`])")
@@ -247,6 +272,8 @@ def _on_line(text: str, low: int, high: int) -> Iterator[tuple[int, int]]:
     line = text[low:high]
     for m in _BEGIN.finditer(line):
         end = _key_block(text, low + m.end(), m.group(1))
+        if end < 0:
+            continue
         body = re.sub(r"\\[nrt]|\s", "", text[low + m.end() : min(end, low + m.end() + 400)])
         if not (_MASKED.match(body) or _REFERENCE.search(body[:20]) or _NOT_A_SECRET.search(body[:40])) or not body:
             yield low + m.start(), end
