@@ -74,6 +74,10 @@ _PAIR = re.compile(rf"(?i)\bname[\"']?\s*[:=]\s*[\"']?{_NAME}[\"']?\s*,?\s*$")
 _VALUE_LINE = re.compile(r"(?i)^\s*[\"']?value[\"']?\s*[:=]\s*[\"']?(?P<value>[^\s\"']+)")
 _USER_FLAG = re.compile(r"(?i)(?:^|\s)(?:-u|--user)[ =]?[\"']?[\w.-]{1,100}:(?P<value>[^\s\"'@]{6,})")
 _PUBLIC = re.compile(r"(?i)ssh-(?:rsa|ed25519|dss)|ecdsa-sha2|-----BEGIN (?:CERTIFICATE|[A-Z ]*PUBLIC KEY)|sha(?:1|224|256|384|512)[-:=]|\bmd5[-:=]")
+#: What a public value's mark announces: a certificate or key up to its END, else one run of its characters.
+_CERTIFICATE_BODY = re.compile(r"(?:(?!-----).)*-----(?:(?!-----).)*-----END [A-Z ]*-----|(?:(?!-----).)*-----(?:\\+[nrt]|[A-Za-z0-9+/= ])*")
+_SSH_BODY = re.compile(r"[\w@.-]{0,40}[\s\"'`]{0,3}[A-Za-z0-9+/=]*")
+_DIGEST_BODY = re.compile(r"[\s\"'`]{0,3}[A-Za-z0-9+/=_-]*")
 _NOT_A_SECRET = re.compile(r"(?i)^(?:change[_-]?me|placeholder|redacted|none|null|undefined|todo|tbd|secret|password|token|dummy|example|sample|test|n/?a|empty|true|false|\.{3,}|\*+|x+|-+|_+)$|your[-_ ]|[-_ ]here$|example|changeme|placeholder|redacted|^\W*$|^<.*>$|^\[.*\]$")
 _REFERENCE = re.compile(r"^\$|\$\{|\$\(|\{\{|^%\(|^%[A-Za-z_]+%$|^@|^#\{|^<|process\.env|os\.(?:environ|getenv)|getenv|^vault:|^secretsmanager|^ssm:|^env[.:(]|^arn:|^file:|^/(?:[a-z]+/)+|^\.{1,2}/|^~/|^https?://|://")
 _UUID = re.compile(r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
@@ -268,6 +272,18 @@ def lines_of(text: str, parts: list[tuple[int, int, bool]]) -> list[int]:
     return lines
 
 
+def _public(line: str) -> list[tuple[int, int]]:
+    """Where digests, certificates and public keys stand on a line, with the values that follow their marks."""
+    spans, at = [], 0
+    while m := _PUBLIC.search(line, at):
+        kind = m.group().lower()
+        body = _CERTIFICATE_BODY if kind.startswith("-") else _SSH_BODY if kind.startswith(("ssh", "ecdsa")) else _DIGEST_BODY
+        found = body.match(line, m.end())
+        at = max(found.end() if found else m.end(), m.end())
+        spans.append((m.start(), at))
+    return spans
+
+
 def _on_line(text: str, low: int, high: int) -> Iterator[tuple[int, int]]:
     line = text[low:high]
     for m in _BEGIN.finditer(line):
@@ -285,18 +301,18 @@ def _on_line(text: str, low: int, high: int) -> Iterator[tuple[int, int]]:
                 continue
         if _issued(whole):
             yield low + m.start(), low + m.end()
-    if _PUBLIC.search(line) and not _URL.search(line):
-        return
+    public = _public(line)
+    is_public = lambda start, end: any(start < low + b and low + a < end for a, b in public)
     for m in _URL.finditer(line):
         value = m.group(1)
         if not (_MASKED.match(value) or _REFERENCE.search(value) or _NOT_A_SECRET.search(value) or _uniform(value)) and len(value) >= 4:
             yield low + m.start(1), low + m.end(1)
     for m in _HEADER.finditer(line):
-        if _looks_secret(m.group("value"), True):
+        if _looks_secret(m.group("value"), True) and not is_public(low + m.start("value"), low + m.end("value")):
             yield low + m.start("value"), low + m.end("value")
     for pattern in (_LOGIN, _USER_FLAG):
         for m in pattern.finditer(line):
-            if _looks_secret(m.group("value"), True):
+            if _looks_secret(m.group("value"), True) and not is_public(low + m.start("value"), low + m.end("value")):
                 yield low + m.start("value"), low + m.end("value")
     if _PAIR.search(line.rstrip()):
         nxt = text[high + 1 : (text.find("\n", high + 1) + 1 or len(text) + 1) - 1]
@@ -317,7 +333,7 @@ def _on_line(text: str, low: int, high: int) -> Iterator[tuple[int, int]]:
         whole, stop = value, end
         while quoted and len(whole) < _LONGEST and (more := _GOES_ON.match(text, stop)):  # strings put together over lines
             whole, stop = whole + more.group("value"), more.end("value")
-        if start < end and _looks_secret(whole, quoted) and (quoted or flag or _strong(value)):
+        if start < end and not is_public(start, end) and _looks_secret(whole, quoted) and (quoted or flag or _strong(value)):
             yield start, end
 
 
