@@ -21,6 +21,7 @@ class Embedder(Protocol):
     name: str
     version: str
     dimension: int
+    longest: int | None  # code points it reads of a text; None: all
 
     def embed(self, texts: list[str]) -> np.ndarray: ...
 
@@ -28,7 +29,7 @@ class Embedder(Protocol):
 class HashingEmbedder:
     """Signed feature hashing of words and word pairs, unit length; the same text always gives the same vector, without any model."""
 
-    name, version = "hashing", "1"
+    name, version, longest = "hashing", "2", None
     _WORD = re.compile(r"[A-Za-z0-9_]+")
 
     def __init__(self, dimension: int = 64):
@@ -45,13 +46,13 @@ class HashingEmbedder:
         return np.where(n > 0, out / np.maximum(n, 1e-12), out)
 
 
-def _embed(make: Callable[[], Embedder], size: int, longest: int):
+def _embed(make: Callable[[], Embedder], size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         embedder = make()
         for batch in batches:
             for lo in range(0, batch.num_rows, size):
                 part = batch.slice(lo, size)
-                v = embedder.embed([t.strip()[:longest] for t in part.column(1).to_pylist()]).astype(np.float32)
+                v = embedder.embed([t.strip()[: embedder.longest] for t in part.column(1).to_pylist()]).astype(np.float32)
                 if v.shape[1] != embedder.dimension:
                     raise ValueError(f"{embedder.name} gave {v.shape[1]} components; {embedder.dimension} were announced")
                 offsets = np.arange(0, v.size + 1, v.shape[1], dtype=np.int32)
@@ -60,18 +61,18 @@ def _embed(make: Callable[[], Embedder], size: int, longest: int):
     return run
 
 
-def embedded(chunks: DataFrame, cache: DataFrame | None = None, make: Callable[[], Embedder] = HashingEmbedder, batch: int = 32, longest: int = 32_000) -> tuple[DataFrame, DataFrame]:
+def embedded(chunks: DataFrame, cache: DataFrame | None = None, make: Callable[[], Embedder] = HashingEmbedder, batch: int = 32) -> tuple[DataFrame, DataFrame]:
     """(chunk_id, vector, hit) of all chunks that aren't blank, and the cache (cache_key, vector) with what is new.
 
-    Equal contents are embedded once; contents in the cache not at all. A chunk whose text is longer than `longest` code points is
-    embedded by its beginning, as models have a longest input.
+    Equal contents are embedded once; contents in the cache not at all. Only a text longer than the
+    embedder's own `longest` input is embedded by its beginning; the default embedder has none and reads all.
     """
     e = make()
     rows = chunks.where(~blank(F.col("content"))).withColumn("cache_key", cache_key(F.col("content_hash"), e.name, e.version))
     if cache is None:
         cache = chunks.sparkSession.createDataFrame([], "cache_key string, vector array<float>")
     todo = rows.join(cache, "cache_key", "left_anti").groupBy("cache_key").agg(F.min("content").alias("content"))
-    new = todo.mapInArrow(_embed(make, batch, longest), "cache_key string, vector array<float>")
+    new = todo.mapInArrow(_embed(make, batch), "cache_key string, vector array<float>")
     known = cache.withColumn("hit", F.lit(True)).unionByName(new.withColumn("hit", F.lit(False)))
     return rows.select("chunk_id", "cache_key").join(known, "cache_key").select("chunk_id", "vector", "hit"), cache.unionByName(new)
 

@@ -100,3 +100,10 @@ def test_embedding_cache(spark):
 def test_rerank(spark):
     hits = spark.createDataFrame([(1, 10, 1, "red blue", "none"), (1, 11, 2, "red blue", "Blue red"), (1, 12, 3, "red blue", None), (1, 13, 50, "red blue", "red blue")], "query_id long, key long, rank int, question string, content string")
     assert [r.key for r in embedding.reranked(hits, 2).orderBy("rank").collect()] == [11, 10]
+
+
+def test_long_texts_are_embedded_whole(spark):
+    text = "a b " * 10_000 + "other words at the end"
+    df = spark.createDataFrame([("a", text, "h")], "chunk_id string, content string, content_hash string")
+    want = embedding.HashingEmbedder().embed([text])[0]
+    assert max(abs(x - y) for x, y in zip(embedding.embedded(df)[0].first().vector, want)) < 1e-6
