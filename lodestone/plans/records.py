@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.operators.incremental import commit_work_list
+from lodestone.operators.incremental import SEQUENCES, limits_at, next_work_list
 from lodestone.operators.redelivery import delivery_repeats
 from lodestone.session import new_path
 from lodestone.sources.ledger import Ledger
-from lodestone.sources.tables import table
+from lodestone.sources.tables import arriving, table
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The work list after two runs: one up to nine tenths of each table's sequence, one from its watermark to the end.
+
+    The ledger is new for each call, so that a call always processes the whole tables; a service keeps one ledger and calls `next_work_list`.
+    """
     ledger = Ledger(spark, new_path(spark, "work"))
-    return commit_work_list(ledger, *(table(spark, d, t) for t in ("chunks", "code_changes", "index_runs", "indexed_chunks")))[1]
+    tables = {n: arriving(spark, d, n) for n in SEQUENCES}
+    next_work_list(ledger, tables, limits_at(tables, 0.9))
+    return ledger.part(next_work_list(ledger, tables), "work")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A commit is one small JSON file in `<root>/commits`, renamed into place without overwriting. Data files are written first
 into a folder of their own; a folder that no commit names is not part of the table. So a run that dies leaves no trace
-that a reader sees, and of two runs that race for one version only one can win.
+that a reader sees, and of two runs that race for one version only one can win. The root must be on a file system whose rename
+without overwriting is atomic (HDFS, POSIX); plain object stores give no such rename.
 """
 
 from __future__ import annotations
@@ -47,21 +48,39 @@ class Ledger:
             stream.close()
 
     def commits(self) -> list[Commit]:
+        return [Commit(**json.loads(self._read(f"{self.root}/commits/{n}"))) for n in self._names()]
+
+    def _names(self) -> list[str]:
         folder = self._path(f"{self.root}/commits")
         if not self._fs.exists(folder):
             return []
         names = sorted(s.getPath().getName() for s in self._fs.listStatus(folder))
-        return [Commit(**json.loads(self._read(f"{self.root}/commits/{n}"))) for n in names if n.endswith(".json") and not n.startswith((".", "_"))]
+        return [n for n in names if n.endswith(".json") and not n.startswith((".", "_"))]
 
     def latest(self) -> Commit | None:
-        return (self.commits() or [None])[-1]
+        """The last commit; names are listed, only its own file is read."""
+        names = self._names()
+        return Commit(**json.loads(self._read(f"{self.root}/commits/{names[-1]}"))) if names else None
+
+    def folder(self) -> str:
+        """A new folder that no commit names yet."""
+        return f"{self.root}/data/{uuid.uuid4().hex}"
 
     def stage(self, df: DataFrame) -> str:
         """Writes df into a folder that no commit names yet."""
-        data = f"{self.root}/data/{uuid.uuid4().hex}"
+        data = self.folder()
         df.write.option("compression", "zstd").parquet(data)
         return data
 
+    def put(self, folder: str, name: str, df: DataFrame) -> DataFrame:
+        """Writes one of several tables into a folder that is to be committed, and reads it back."""
+        df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    def part(self, commit: Commit, name: str) -> DataFrame:
+        """One of the tables of a commit whose data has several."""
+        return self.spark.read.parquet(f"{commit.data}/{name}")
+
     def commit(self, after: Commit | None, watermark: dict[str, Any], data: str | None, **info: Any) -> Commit:
         """Makes data and watermark visible in one step; CommitConflict if `after` is no longer the latest commit."""
         new = Commit((after.version if after else 0) + 1, watermark, data, info)

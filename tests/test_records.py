@@ -1,6 +1,7 @@
 """The ledger, incremental runs, the work list and redelivered messages."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from lodestone.operators import incremental as inc
 from lodestone.operators import redelivery as red
 from lodestone.session import new_path
 from lodestone.sources.ledger import CommitConflict, Ledger
+from lodestone.sources.tables import arriving
 
 
 def _ts(df, *columns):
@@ -39,11 +41,10 @@ def test_runs_skip_and_repeat_nothing(spark):
     with pytest.raises(RuntimeError):
         run.finish(dies)
     run = inc.IncrementalRun(ledger, source, "seq")
-    assert (run.lower, run.upper, run.rows.count()) == (None, 10, 10)
+    assert (run.window.last, run.window.upper, run.rows.count()) == ({}, "10", 10)
     run.finish(lambda df: df)
     more = spark.createDataFrame(rows + [(11,), (12,)], "seq int")
     late = inc.IncrementalRun(ledger, more, "seq")
-    late.source_grows = None
     assert sorted(r.seq for r in late.rows.collect()) == [11, 12]
     rival = inc.IncrementalRun(ledger, more, "seq")
     late.finish(lambda df: df)
@@ -64,22 +65,83 @@ def _tables(spark):
     return chunks, changes, runs, indexed
 
 
+NAMES = ["chunks", "code_changes", "index_runs", "indexed_chunks"]
+
+
+def _list(ledger, tables, limits=None):
+    commit = inc.next_work_list(ledger, dict(zip(NAMES, tables)), limits)
+    rows = [tuple(r) for r in ledger.part(commit, "work").collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+def _new(spark):
+    return Ledger(spark, new_path(spark, "t"))
+
+
 def test_work_list(spark):
-    chunks, changes, runs, indexed = _tables(spark)
-    got = {tuple(r) for r in inc.work_list(chunks, changes, runs, indexed).collect()}
+    chunks, changes, runs, indexed = tables = _tables(spark)
+    got = _list(_new(spark), tables)
     assert got == {("chunk", "a"), ("chunk", "d"), ("change", "3"), ("change", "5"), ("change", "6")}
-    nothing = {tuple(r) for r in inc.work_list(chunks, changes, runs.limit(0), indexed.limit(0)).collect()}
-    assert len(nothing) == 5 + 6
-    assert inc.work_list(*(t.limit(0) for t in (chunks, changes, runs, indexed))).collect() == []
-    commit, frame = inc.commit_work_list(Ledger(spark, new_path(spark, "t")), chunks, changes, runs, indexed)
-    assert {tuple(r) for r in frame.collect()} == got and commit.watermark["run_no"] == 4
+    assert len(_list(_new(spark), (chunks, changes, runs.limit(0), indexed.limit(0)))) == 5 + 6
+    assert _list(_new(spark), [t.limit(0) for t in tables]) == set()
+
 
+def test_limits_hold_rows_back_until_the_next_run(spark):
+    tables, ledger = _tables(spark), _new(spark)
+    early = _list(ledger, tables, {"index_runs": "1970-01-01 00:01:00", "chunks": "1970-01-01 00:00:01"})
+    assert ("change", "4") in early and ("chunk", "a") not in early
+    assert _list(ledger, tables) == _list(_new(spark), tables) and ledger.latest().version == 2
 
-def test_limits_leave_later_rows_out(spark):
+
+def test_any_cut_gives_the_same_list(spark):
+    """Runs up to any point and then to the end find what one run over everything finds, completed runs that fail later included."""
     chunks, changes, runs, indexed = _tables(spark)
-    at = inc.upper_limits(chunks, changes, runs) | {"run_no": 3}
-    got = {tuple(r) for r in inc.work_list(chunks, changes, runs, indexed, at).collect()}
-    assert ("change", "4") in got
+    more = _ts(spark.createDataFrame([(1, "r", "p", "q", "failed", 10, 20, 90), (2, "r", "q", "s", "completed", 30, 40, 95)], "run_no long, repository string, previous_commit string, current_commit string, status string, started_at int, finished_at int, updated_at int"), "started_at", "finished_at", "updated_at")
+    tables = (chunks, changes, runs.unionByName(more), indexed)
+    whole = _list(_new(spark), tables)
+    assert ("chunk", "b") in whole  # run 1 failed in the end, run 2 took other content
+    for second in (15, 45, 65, 92):
+        ledger = _new(spark)
+        _list(ledger, tables, {"index_runs": f"1970-01-01 00:{second // 60:02d}:{second % 60:02d}", "chunks": "1970-01-01 00:00:01", "code_changes": "1970-01-01 00:00:11", "indexed_chunks": 1})
+        assert _list(ledger, tables) == whole
+
+
+def _save(df, folder, name):
+    df.write.mode("append").parquet(f"{folder}/{name}.parquet")
+
+
+def _arriving(spark, folder):
+    return [arriving(spark, folder, n) for n in NAMES]
+
+
+def test_late_rows_reruns_and_lost_runs(spark, tmp_path):
+    folder, ledger = f"file://{tmp_path}", _new(spark)
+    tables = _tables(spark)
+    for name, df in zip(NAMES, tables):
+        _save(df, folder, name)
+    first = _list(ledger, _arriving(spark, folder))
+    # Without new rows nothing is read, and the commit stays the last.
+    window = inc.windows({n: (df, inc.SEQUENCES[n]) for n, df in zip(NAMES, _arriving(spark, folder))}, ledger.latest().watermark)
+    assert all(w.is_empty and w.rows.count() == 0 for w in window.values())
+    before = ledger.latest()
+    assert inc.next_work_list(ledger, dict(zip(NAMES, _arriving(spark, folder)))) == before
+    # Late rows: all of their sequences are below the watermarks.
+    time.sleep(1.1)
+    _save(_ts(spark.createDataFrame([("late", "r", "h", True, 1)], "chunk_id string, repository string, content_hash string, active boolean, created_at int"), "created_at"), folder, "chunks")
+    _save(_ts(spark.createDataFrame([(77, "r", "p", "q", 9), (3, "r", "p", "q", 2)], "change_no long, repository string, previous_commit string, current_commit string, recorded_at int"), "recorded_at"), folder, "code_changes")
+    tables = _arriving(spark, folder)
+    # A run that dies between writing and committing leaves no trace, and the next one takes the same rows, once.
+    commit = ledger.commit
+    ledger.commit = lambda *a, **k: (_ for _ in ()).throw(RuntimeError("driver lost"))
+    with pytest.raises(RuntimeError):
+        inc.next_work_list(ledger, dict(zip(NAMES, tables)))
+    ledger.commit = commit
+    assert ledger.latest() == before
+    fresh = inc.windows({n: (df, inc.SEQUENCES[n]) for n, df in zip(NAMES, tables)}, before.watermark)
+    assert [fresh[n].rows.count() for n in NAMES] == [1, 2, 0, 0]
+    got = _list(ledger, tables)
+    assert got == first - {("change", "3")} | {("chunk", "late")} == _list(_new(spark), tables)
 
 
 def _ids(spark, rows):
