@@ -4,11 +4,14 @@
    with a keyword, and the line after, are looked at further.
 2. On these lines come the formats that issuers publish (prefix, alphabet, length), key blocks, connection strings, and values
    bound to a name that says password, key, token or secret.
-3. A value stays if its structure holds: a JWT's header must decode to JSON, an issuer's token must not be too uniform and be
-   of full length or hold a digit, a named value must look random or like a chosen password, by digits or, without any, by its
-   case and pairs of letters. Placeholders, references, public keys, certificates, digests and identifiers go.
-4. Each value is masked character by character with one of the same kind (upper case, lower case, digit; everything else
-   stays), so neither lengths nor quoting nor line breaks change. Masked values are not found again.
+3. A value stays if its structure holds: a JWT's header must decode to JSON, an issuer's token must be of full length (in one
+   piece or put together over lines) and not too uniform, a named value must look random or like a chosen password, by digits or,
+   without any, by its case and pairs of letters. Where an issuer puts a checksum into its tokens (CRC-32 in base 62), one that
+   holds settles it; one that doesn't is no proof of the opposite, as revoked and made-up tokens are to be masked too.
+   Placeholders, references, public keys, certificates, digests and identifiers go.
+4. Each value is masked by characters of its own alphabet (decimal, hexadecimal, base 32, base 64 or plain letters and digits, each in its case;
+   everything else stays), so neither lengths nor quoting nor line breaks change and what decoded before still decodes.
+   Masked values are not found again.
 
 Defined results
 - lines count from 1 and end with \\n, so \\r belongs to its line; a value over several lines begins on its first
@@ -23,6 +26,7 @@ from __future__ import annotations
 import base64
 import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -56,12 +60,11 @@ _FULL = re.compile(
     r"|AIza[A-Za-z0-9_-]{35}|npm_[A-Za-z0-9]{36}|pypi-[A-Za-z0-9_-]{50,}|SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}|hf_[A-Za-z0-9]{34,}|dop_v1_[a-f0-9]{64}"
 )
 _STAND_IN = re.compile(r"(?i)example|your|token|here|placeholder|secret|dummy|fake|sample|insert|replace|redacted|changeme|abcdef")
-_BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]{1,20} ){0,5}PRIVATE KEY(?: BLOCK)?)-----")
-_URL = re.compile(r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{0,30}://[^\s:/@\"'`<>]{0,200}:([^\s@/\"'`]{1,1000})@(?=[\w\[])")
+_BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----")
+_URL = re.compile(r"(?<=[A-Za-z0-9+.-])://[^\s:/@\"'`<>]*:([^\s@/\"'`]+)@(?=[\w\[])")
 _WORD = r"(?:pass|passwd|password|passphrase|pwd|secret|token|api[_.-]?key|access[_.-]?key|secret[_.-]?key|private[_.-]?key|signing[_.-]?key|encryption[_.-]?key|credentials?|dbpass|pw)"
-_NAME = rf"(?<![A-Za-z0-9])(?:[A-Za-z0-9]{{1,40}}[_.-]){{0,10}}[A-Za-z0-9]{{0,40}}?{_WORD}"
 _BOUND = re.compile(
-    rf"(?P<name>{_NAME})"
+    rf"(?P<name>{_WORD})"
     r"(?P<close>\*\*|__|[\"'`\])]{1,2})?"
     r"(?P<type>\s*:\s*(?:&'?\w*\s*)?(?:str|String|string|text|bytes|auto))?"
     r"(?P<op>\s*(?::=|=>|->|==?|:|,|\||>)\s*|(?=\(\s*[\"'`])|\s+(?:is|was|are|of|to)\s+(?:now\s+|set\s+to\s+|currently\s+)?|\s+)"
@@ -69,10 +72,12 @@ _BOUND = re.compile(
     re.IGNORECASE,
 )
 _HEADER = re.compile(r"\b(?:Bearer|Basic|Token)\s+(?P<value>[A-Za-z0-9._~+/=-]{12,})")
-_LOGIN = re.compile(r"(?i)(?:\b(?:log ?in|sign ?in|logon|connect|\w{0,40}(?:login|account|auth|authenticate|connect|session|credentials?))\b[^\"'`\n]{0,40})[\"'`][^\"'`\n]{1,60}[\"'`]\s*(?:,|/|:|and|with)\s*(?:[A-Za-z ]{0,20})?[\"'`](?P<value>[^\"'`\n]{6,})[\"'`]")
-_PAIR = re.compile(rf"(?i)\bname[\"']?\s*[:=]\s*[\"']?{_NAME}[\"']?\s*,?\s*$")
+_LOGIN = re.compile(r"(?:\b(?:log ?in|sign ?in|logon|connect)|login|account|auth|authenticate|connect|session|credentials?)\b", re.IGNORECASE)
+_BETWEEN = re.compile(r"\s*(?:,|/|:|and|with)\s*[A-Za-z ]*", re.IGNORECASE)
+_ANY_QUOTE = re.compile("[\"'`]")
+_PAIR = re.compile(rf"(?i)\bname[\"']?\s*[:=]\s*[\"']?[A-Za-z0-9_.-]*{_WORD}[\"']?\s*,?\s*$")
 _VALUE_LINE = re.compile(r"(?i)^\s*[\"']?value[\"']?\s*[:=]\s*[\"']?(?P<value>[^\s\"']+)")
-_USER_FLAG = re.compile(r"(?i)(?:^|\s)(?:-u|--user)[ =]?[\"']?[\w.-]{1,100}:(?P<value>[^\s\"'@]{6,})")
+_USER_FLAG = re.compile(r"(?i)(?:^|\s)(?:-u|--user)[ =]?[\"']?[\w.-]+:(?P<value>[^\s\"'@]{6,})")
 _PUBLIC = re.compile(r"(?i)ssh-(?:rsa|ed25519|dss)|ecdsa-sha2|-----BEGIN (?:CERTIFICATE|[A-Z ]*PUBLIC KEY)|sha(?:1|224|256|384|512)[-:=]|\bmd5[-:=]")
 #: What a public value's mark announces: a certificate or key up to its END, else one run of its characters.
 _CERTIFICATE_BODY = re.compile(r"(?:(?!-----).)*-----(?:(?!-----).)*-----END [A-Z ]*-----|(?:(?!-----).)*-----(?:\\+[nrt]|[A-Za-z0-9+/= ])*")
@@ -81,11 +86,16 @@ _DIGEST_BODY = re.compile(r"[\s\"'`]{0,3}[A-Za-z0-9+/=_-]*")
 _NOT_A_SECRET = re.compile(r"(?i)^(?:change[_-]?me|placeholder|redacted|none|null|undefined|todo|tbd|secret|password|token|dummy|example|sample|test|n/?a|empty|true|false|\.{3,}|\*+|x+|-+|_+)$|your[-_ ]|[-_ ]here$|example|changeme|placeholder|redacted|^\W*$|^<.*>$|^\[.*\]$")
 _REFERENCE = re.compile(r"^\$|\$\{|\$\(|\{\{|^%\(|^%[A-Za-z_]+%$|^@|^#\{|^<|process\.env|os\.(?:environ|getenv)|getenv|^vault:|^secretsmanager|^ssm:|^env[.:(]|^arn:|^file:|^/(?:[a-z]+/)+|^\.{1,2}/|^~/|^https?://|://")
 _UUID = re.compile(r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
-_BLANKS, _SOLID = re.compile(r"\s*"), re.compile(r"[^\s\"'`<]{0,5000}")
-_LONGEST = 5000
+_BLANKS, _SOLID = re.compile(r"\s*"), re.compile(r"[^\s\"'`<]*")
+_DOTTED, _HUMPED = re.compile(r"[a-z]+(?:[._-][a-z0-9]+)*|[A-Z]+(?:_[A-Z0-9]+)*"), re.compile(r"[A-Za-z]+\d{0,2}(?:[A-Z][a-z]+\d{0,2})*")
 _MASKED = re.compile(r"^[Xx0\W_]*$")
 _QUOTES = ('"""', "'''", '"', "'", "`")
-_MASK = str.maketrans({**{c: "X" for c in map(chr, range(65, 91))}, **{c: "x" for c in map(chr, range(97, 123))}, **{c: "0" for c in map(chr, range(48, 58))}})
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+_PLAIN = str.maketrans(_UPPER + _LOWER + _DIGITS, "X" * 26 + "x" * 26 + "0" * 10)
+_HEXADECIMAL = str.maketrans("ABCDEFabcdef" + _DIGITS, "A" * 6 + "a" * 6 + "0" * 10)
+_BASE32 = str.maketrans(_UPPER + _LOWER + "234567", "X" * 26 + "x" * 26 + "2" * 6)
+_IS_HEXADECIMAL = re.compile(r"(?:0[xX])?[0-9a-fA-F]+(?:[:\s-]+[0-9a-fA-F]+)*")
+_IS_BASE32 = re.compile(r"(?:[A-Z2-7]+|[a-z2-7]+)=*")
 
 _AUTOMATON = None
 
@@ -119,11 +129,26 @@ def _issued(value: str) -> bool:
         except ValueError:
             return "." not in value and decoded.startswith(b'{"alg"')
     body = value.split("_")[-1] if "_" in value[:12] else value[4:]
-    if _uniform(body) or "EXAMPLE" in value:
-        return False
-    if any(c.isdigit() for c in value):
+    if checksum_holds(value):
         return True
-    return _FULL.fullmatch(value) is not None and not _STAND_IN.search(body) and (value.isupper() or not (body.islower() or body.isupper()))
+    if _uniform(body) or "EXAMPLE" in value or not (_FULL.fullmatch(value) or value.startswith("xox")):
+        return False
+    return any(c.isdigit() for c in value) or not _STAND_IN.search(body) and (value.isupper() or not (body.islower() or body.isupper()))
+
+
+_BASE62 = _DIGITS + _UPPER + _LOWER
+
+
+def checksum_holds(value: str) -> bool:
+    """Whether the last six characters are the CRC-32 of the thirty before, in base 62, as GitHub's and npm's tokens have it."""
+    m = re.fullmatch(r"(?:gh[opusr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})", value)
+    if not m:
+        return False
+    crc, digits = zlib.crc32(m.group(1).encode()), ""
+    for _ in range(6):
+        crc, at = divmod(crc, 62)
+        digits = _BASE62[at] + digits
+    return digits == m.group(2)
 
 
 _PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -147,7 +172,7 @@ def _chosen_letters(value: str) -> bool:
 
 def _looks_secret(value: str, quoted: bool) -> bool:
     """A value bound to a telling name: random, or a chosen password of several kinds of characters."""
-    if not 6 <= len(value) <= 4096 or _MASKED.match(value) or _NOT_A_SECRET.search(value) or _REFERENCE.search(value) or _UUID.match(value) or _uniform(value):
+    if len(value) < 6 or _MASKED.match(value) or _NOT_A_SECRET.search(value) or _REFERENCE.search(value) or _UUID.match(value) or _uniform(value):
         return False
     if any(c.isspace() for c in value) or any(c in value for c in "(){}[]<>;,") or not value.isascii():
         return False
@@ -156,11 +181,11 @@ def _looks_secret(value: str, quoted: bool) -> bool:
         return False
     if not digits:
         return _random_letters(value) or quoted and _chosen_letters(value)
-    if re.fullmatch(r"[a-z]+(?:[._-][a-z0-9]+)*|[A-Z]+(?:_[A-Z0-9]+)*", value) and not re.fullmatch(r"[0-9a-f]{24,}|(?=.*\d.*[a-z].*\d)[a-z0-9]{10,}", value):
+    if _DOTTED.fullmatch(value) and not (re.fullmatch(r"[0-9a-f]{24,}", value) or re.fullmatch(r"[a-z0-9]{10,}", value) and re.search(r"\d[a-z]+\d", value)):
         return False
-    if not quoted and re.fullmatch(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+", value) and len(value) < 60 and not re.search(r"\d{3}", value):
+    if not quoted and len(value) < 60 and re.fullmatch(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+", value) and not re.search(r"\d{3}", value):
         return False
-    if re.fullmatch(r"[A-Za-z]+\d{0,2}(?:[A-Z][a-z]+\d{0,2})*", value) and not quoted and len(value) < 24:
+    if not quoted and len(value) < 24 and _HUMPED.fullmatch(value):
         return False
     return True
 
@@ -169,11 +194,11 @@ def _value_at(text: str, at: int, opened: str, high: int) -> tuple[int, int, boo
     """(start, end, quoted) of the value at `at`, which follows the opening characters."""
     quote = next((q for q in _QUOTES if opened.endswith(q)), "")
     if quote:
-        end = text.find(quote, at, min(high, at + _LONGEST))
+        end = text.find(quote, at, high)
         if end < 0 and (quote == "`" or len(quote) == 3) and not text[at:high].strip():  # the value begins on the next line
-            body = _BLANKS.match(text, high, high + 200).end()
+            body = _BLANKS.match(text, high).end()
             return body, _SOLID.match(text, body).end(), True
-        return at, min(high, at + _LONGEST) if end < 0 else end, True
+        return at, high if end < 0 else end, True
     end = _SOLID.match(text, at).end()
     while end > at and text[end - 1] in ",;.)]":
         end -= 1
@@ -290,15 +315,15 @@ def _on_line(text: str, low: int, high: int) -> Iterator[tuple[int, int]]:
         end = _key_block(text, low + m.end(), m.group(1))
         if end < 0:
             continue
-        body = re.sub(r"\\[nrt]|\s", "", text[low + m.end() : min(end, low + m.end() + 400)])
+        body = re.sub(r"\\[nrt]|\s", "", text[low + m.end() : end])
         if not (_MASKED.match(body) or _REFERENCE.search(body[:20]) or _NOT_A_SECRET.search(body[:40])) or not body:
             yield low + m.start(), end
     for m in ISSUERS.finditer(line):
         whole = m.group()
-        if not any(c.isdigit() for c in whole):  # cut over lines, only the whole shows its length
+        if not _FULL.fullmatch(whole):  # cut over lines, only the whole shows its length
             whole += "".join(more.group("value") for more in _continued(text, low + m.end()))
-            if not _FULL.fullmatch(whole) and not whole.startswith("eyJ") or line[m.end() : m.end() + 1].isalnum():
-                continue
+        if line[m.end() : m.end() + 1].isalnum() and not any(c.isdigit() for c in whole):
+            continue
         if _issued(whole):
             yield low + m.start(), low + m.end()
     public = _public(line)
@@ -310,10 +335,12 @@ def _on_line(text: str, low: int, high: int) -> Iterator[tuple[int, int]]:
     for m in _HEADER.finditer(line):
         if _looks_secret(m.group("value"), True) and not is_public(low + m.start("value"), low + m.end("value")):
             yield low + m.start("value"), low + m.end("value")
-    for pattern in (_LOGIN, _USER_FLAG):
-        for m in pattern.finditer(line):
-            if _looks_secret(m.group("value"), True) and not is_public(low + m.start("value"), low + m.end("value")):
-                yield low + m.start("value"), low + m.end("value")
+    for m in _USER_FLAG.finditer(line):
+        if _looks_secret(m.group("value"), True) and not is_public(low + m.start("value"), low + m.end("value")):
+            yield low + m.start("value"), low + m.end("value")
+    for start, end in _after_login(line):
+        if _looks_secret(line[start:end], True) and not is_public(low + start, low + end):
+            yield low + start, low + end
     if _PAIR.search(line.rstrip()):
         nxt = text[high + 1 : (text.find("\n", high + 1) + 1 or len(text) + 1) - 1]
         m = _VALUE_LINE.match(nxt)
@@ -321,8 +348,11 @@ def _on_line(text: str, low: int, high: int) -> Iterator[tuple[int, int]]:
             yield high + 1 + m.start("value"), high + 1 + m.end("value")
     at = 0
     while m := _BOUND.search(line, at):
+        begin = m.start("name")
+        while begin > at and (line[begin - 1].isalnum() or line[begin - 1] in "_.-"):
+            begin -= 1
         at = m.end("name")
-        flag = re.search(r"(?:^|\s)--?$", line[max(0, m.start("name") - 3) : m.start("name")]) is not None
+        flag = line.startswith("-", begin) and (begin == 0 or line[begin - 1].isspace())
         plain_word = line[m.end("name") : m.end("name") + 1]
         if plain_word.isalnum() or plain_word == "_":
             continue
@@ -330,9 +360,7 @@ def _on_line(text: str, low: int, high: int) -> Iterator[tuple[int, int]]:
         value = text[start:end]
         if m.group("op").strip() and value and start <= high:
             at = max(at, min(end, high) - low)  # a placeholder's own words bind nothing
-        whole, stop = value, end
-        while quoted and len(whole) < _LONGEST and (more := _GOES_ON.match(text, stop)):  # strings put together over lines
-            whole, stop = whole + more.group("value"), more.end("value")
+        whole = value + "".join(more.group("value") for more in _continued(text, end)) if quoted else value  # strings put together over lines
         if start < end and not is_public(start, end) and _looks_secret(whole, quoted) and (quoted or flag or _strong(value)):
             yield start, end
 
@@ -341,7 +369,36 @@ def _strong(value: str) -> bool:
     """Enough by itself outside of quotes: no plain name, call or path."""
     if not re.search(r"\d", value):
         return _random_letters(value)
-    return not re.fullmatch(r"[a-z]+(?:[A-Z]\w*)*\d*|[A-Za-z_]\w*\.\w+(?:\.\w+)*", value)
+    return not re.fullmatch(r"[a-z]+(?:[A-Z]\w*)?\d*|[A-Za-z_]\w*\.\w+(?:\.\w+)*", value)
+
+
+def _after_login(line: str) -> Iterator[tuple[int, int]]:
+    """The second of two strings that stand together after a word for logging in, as in login("name", "value")."""
+    at = [m.start() for m in _ANY_QUOTE.finditer(line)] if _LOGIN.search(line) else []
+    for i in range(len(at) - 3):
+        a, b, c, d = at[i : i + 4]
+        if b - a > 1 and d - c > 6 and _BETWEEN.fullmatch(line, b + 1, c) and _LOGIN.search(line, at[i - 1] + 1 if i else 0, a):
+            yield c + 1, d
+
+
+def _alphabet(value: str) -> dict[int, int]:
+    """The replacements that keep a value in its alphabet."""
+    solid = value.strip()
+    if len(solid) >= 8 and _IS_HEXADECIMAL.fullmatch(solid):
+        return _HEXADECIMAL
+    if len(solid) >= 16 and _IS_BASE32.fullmatch(solid):
+        return _BASE32
+    return _PLAIN
+
+
+def mask_value(value: str) -> str:
+    """value in characters of its alphabet; the last one before the padding of base 64 stands for zero, so that the bits beyond the end are zero."""
+    head = value[:2] if value[:2] in ("0x", "0X") and _IS_HEXADECIMAL.fullmatch(value) else ""
+    out = head + value[len(head) :].translate(_alphabet(value))
+    bare = out.rstrip("=")
+    if bare and len(bare) < len(out) and len(out) % 4 == 0 and re.fullmatch(r"[A-Za-z0-9+/_-]+", bare):
+        out = bare[:-1] + "A" + out[len(bare) :]
+    return out
 
 
 def mask(text: str | None, spans: list[tuple[int, int, bool]]) -> str | None:
@@ -355,23 +412,24 @@ def mask(text: str | None, spans: list[tuple[int, int, bool]]) -> str | None:
         m = _BEGIN.match(value)
         if m:
             body = value[m.end() :]
-            out.append(m.group() + re.sub(r"(\\[nrt])|([A-Za-z0-9])", lambda x: x.group(1) or x.group(2).translate(_MASK), body))
+            out.append(m.group() + re.sub(r"(\\[nrt])|([A-Za-z0-9]+)", lambda x: x.group(1) or x.group(2).translate(_PLAIN), body))
         else:
-            out.append(value.translate(_MASK))
+            out.append(mask_value(value))
         at = b
     return "".join(out) + text[at:]
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, texts, lines = [], [], []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        at, texts, lines = [], [], []
+        for i, text in enumerate(batch.column(2).to_pylist()):
             spans = find_parts(text)
             if spans:
-                keys.append(key)
+                at.append(i)
                 texts.append(mask(text, spans))
                 lines.append(lines_of(text, spans))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(lines, pa.list_(pa.int32())), pa.array(texts, pa.string())], names=["chunk_id", "lines", "redacted"])
+        rows = pa.array(at, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(lines, pa.list_(pa.int32())), pa.array(texts, pa.string())], names=["chunk_id", "h", "lines", "redacted"])
 
 
 def redacted_chunks(chunks: DataFrame) -> DataFrame:
@@ -379,13 +437,10 @@ def redacted_chunks(chunks: DataFrame) -> DataFrame:
 
     Contents don't move: each row is looked at where it is read, and only what was found is reduced to one row a chunk.
     """
-    rows = chunks.where("chunk_id is not null and content is not null")
-    newest = rows.groupBy("chunk_id").agg(F.max(F.struct("created_at", F.xxhash64("content").alias("h"))).alias("newest"))
-    hashed = rows.select(F.concat_ws("\n", "chunk_id", F.col("created_at").cast("string"), F.xxhash64("content").cast("string")).alias("row"), "content")
-    found = hashed.mapInArrow(_run, "chunk_id string, lines array<int>, redacted string")
-    part = F.split("chunk_id", "\n")
-    found = found.select(part[0].alias("chunk_id"), part[F.size(part) - 1].cast("long").alias("h"), "lines", "redacted").dropDuplicates(["chunk_id", "h"])
-    return found.join(newest.select("chunk_id", "newest.h"), ["chunk_id", "h"], "left_semi").select("chunk_id", "lines", "redacted")
+    rows = chunks.where("chunk_id is not null and content is not null").select(F.col("chunk_id").cast("string").alias("chunk_id"), F.xxhash64("content").alias("h"), "content", "created_at")
+    newest = rows.groupBy("chunk_id").agg(F.max(F.struct("created_at", "h")).alias("newest"))
+    found = rows.select("chunk_id", "h", "content").mapInArrow(_run, "chunk_id string, h long, lines array<int>, redacted string").dropDuplicates(["chunk_id", "h"])
+    return found.join(newest.select("chunk_id", F.col("newest.h").alias("h")), ["chunk_id", "h"], "left_semi").select("chunk_id", "lines", "redacted")
 
 
 def credentials(chunks: DataFrame) -> DataFrame:
