@@ -6,8 +6,8 @@
 2. The size of the mixture is the largest at which no source with documents needs more than max_repeats passes. Shares of sources
    without documents go to the others in proportion. Blocks for each source follow by largest remainders.
 3. Output shards draw how many blocks of each source they get from a multinomial law conditioned on those totals, so
-   shards differ as in free sampling and the totals, and with them the caps, hold exactly. This is done on the driver, a row for
-   each shard and source; `shard_blocks` sets how many shards there are.
+   shards differ as in free sampling and the totals, and with them the caps, hold exactly. The totals are split over `GROUPS`
+   groups of shards first, on the driver, and within each group over its shards, in the tasks.
 4. The slots of a source, numbered through all shards, are mapped to its blocks by one pseudorandom permutation of the block
    numbers for each pass, so no block comes a second time before all have come once.
 5. Slots and blocks are joined by source and block number.
@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.tokens import VOCABULARY, encoder
 from lodestone.session import written
 
-BLOCK, SHARD_BLOCKS, SEED, RANGES, PER_RANGE = 256, 1024, 11, 64, 500_000
+BLOCK, SHARD_BLOCKS, SEED, RANGES, PER_RANGE, GROUPS = 256, 1024, 11, 64, 500_000, 512
+#: Beyond so many blocks the exact draw of a group's share gives way to the normal law with the same mean and variance.
+_EXACT = 900_000_000
 
 MIXTURE = "shard int, slot int, source string, pass int, block_no long, n_tokens int, pieces array<struct<doc_id:long,first:int,count:int>>, ids array<int>"
 
@@ -116,20 +118,76 @@ def plan(sizes: dict[str, int], targets: dict[str, tuple[float, int]], block: in
     return out
 
 
-def draw(slots: dict[str, int], shard_blocks: int, seed: int) -> list[tuple[int, str, int, int]]:
-    """(shard, source, first slot number of the source, count): each shard's counts, multinomial given the totals."""
-    rng = np.random.default_rng(seed)
-    names = [s for s in sorted(slots) if slots[s]]
+def _share(rng: np.random.Generator, mine: int, others: int, n: int) -> int:
+    """How many of n blocks, drawn from mine + others, are mine."""
+    if mine + others <= _EXACT:
+        return int(rng.hypergeometric(mine, others, n)) if n and mine else 0
+    total = mine + others
+    mean = n * mine / total
+    spread = (mean * others / total * (total - n) / max(1, total - 1)) ** 0.5
+    return min(mine, n, max(0, n - others, round(rng.normal(mean, spread))))
+
+
+def _split(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
+    """Counts of each source among n blocks drawn from left: a multinomial draw given the totals."""
+    out, rest, total = np.zeros(len(left), np.int64), n, int(left.sum())
+    for i, mine in enumerate(left.tolist()):
+        total -= mine
+        out[i] = _share(rng, mine, total, rest) if total else min(mine, rest)
+        rest -= int(out[i])
+    return out
+
+
+def grouped(slots: dict[str, int], shard_blocks: int, seed: int, groups: int = GROUPS) -> list[tuple[int, int, list[int], list[int]]]:
+    """(group, first shard, first slot number of each source, number of slots of each) over the sources in order of name."""
+    rng, names = np.random.default_rng(seed), sorted(slots)
     left = np.array([slots[s] for s in names], np.int64)
-    out, shard, at = [], 0, np.zeros(len(names), np.int64)
-    while left.sum():
-        n = min(shard_blocks, int(left.sum()))
-        counts = rng.multivariate_hypergeometric(left, n, method="marginals")
-        out += [(shard, s, int(at[i]), int(counts[i])) for i, s in enumerate(names) if counts[i]]
-        at, left, shard = at + counts, left - counts, shard + 1
+    shards = -(-int(left.sum()) // shard_blocks)
+    per = max(1, -(-shards // groups))
+    out, at = [], np.zeros(len(names), np.int64)
+    for g in range(-(-shards // per)):
+        n = min(per * shard_blocks, int(left.sum()))
+        counts = _split(rng, left, n)
+        out.append((g, g * per, at.tolist(), counts.tolist()))
+        at, left = at + counts, left - counts
     return out
 
 
+def _drawn(shard_blocks: int, seed: int):
+    """Each group's shards: (shard, at, first, count) for each source, `at` being its place in the order of names."""
+
+    def run(batches):
+        for p in batches:
+            for group, shard, at, left in zip(p["group"].tolist(), p["shard"].tolist(), p["first"], p["count"]):
+                rng = np.random.default_rng([seed, group])
+                at, left, parts = np.array(at, np.int64), np.array(left, np.int64), []
+                while left.sum():
+                    counts = _split(rng, left, min(shard_blocks, int(left.sum())))
+                    has = np.flatnonzero(counts)
+                    parts.append((np.full(len(has), shard), has, at[has], counts[has]))
+                    at, left, shard = at + counts, left - counts, shard + 1
+                    if len(parts) >= 5000:
+                        yield _rows(parts)
+                        parts = []
+                if parts:
+                    yield _rows(parts)
+
+    return run
+
+
+def _rows(parts: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(dict(zip(("shard", "at", "first", "count"), (np.concatenate(x) for x in zip(*parts)))))
+
+
+def draw(spark, slots: dict[str, int], shard_blocks: int, seed: int, groups: int = GROUPS) -> DataFrame:
+    """(shard, at, first, count): the slots of each source in each shard; the driver makes `groups` rows at most."""
+    rows = grouped(slots, shard_blocks, seed, groups)
+    frame = spark.createDataFrame(rows, "group int, shard long, first array<long>, count array<long>")
+    if len(rows) > 1:
+        frame = frame.repartition(min(len(rows), 64), "group")
+    return frame.mapInPandas(_drawn(shard_blocks, seed), "shard int, at int, first long, count long")
+
+
 def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
     """index -> its place under a pseudorandom permutation of 0..size-1, chosen by key: a four-round Feistel network, walked until inside."""
     half = np.maximum(1, np.ceil(np.log2(np.maximum(size, 2)) / 2).astype(np.uint64))
@@ -167,8 +225,8 @@ def mixture(documents: DataFrame, targets: DataFrame, block: int = BLOCK, shard_
     sizes = {r.source: r.n for r in found}
     ranges = max(RANGES, -(-max((r.docs for r in found), default=0) // PER_RANGE))
     plans = plan(sizes, wanted, block)
-    drawn = draw({s: x["slots"] for s, x in plans.items()}, shard_blocks, seed)
-    counts = spark.createDataFrame([(sh, s, a, n, plans[s]["blocks"], abs(hash_of(s, seed))) for sh, s, a, n in drawn], "shard int, source string, first long, count int, blocks long, key long")
+    facts = spark.createDataFrame([(i, s, plans[s]["blocks"], abs(hash_of(s, seed))) for i, s in enumerate(sorted(plans))], "at int, source string, blocks long, key long")
+    counts = draw(spark, {s: x["slots"] for s, x in plans.items()}, shard_blocks, seed).join(F.broadcast(facts), "at")  # a row for each target
     each = counts.select("shard", "source", "blocks", "key", F.explode(F.expr("sequence(first, first + count - 1)")).alias("number"))
     order = W.partitionBy("shard").orderBy(F.xxhash64("shard", "source", "number", F.lit(seed)), "source", "number")
     slots = each.withColumn("slot", (F.row_number().over(order) - 1).cast("int"))

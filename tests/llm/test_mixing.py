@@ -13,12 +13,29 @@ def test_permutation():
     assert m.permuted(np.arange(1000), np.full(1000, 1000), np.full(1000, 3)).tolist() != list(range(1000))
 
 
-def test_plan_and_draw():
+def test_plan():
     p = m.plan({"a": 10_000, "b": 500}, {"a": (0.5, 1), "b": (0.3, 4), "none": (0.2, 9)}, 10)
     assert p["none"]["slots"] == 0 and p["b"]["slots"] == 200 and p["a"]["slots"] == 333
-    d = m.draw({s: x["slots"] for s, x in p.items()}, 100, 1)
-    assert sum(n for _, s, _, n in d if s == "a") == 333 and all(sum(n for k, _, _, n in d if k == sh) == 100 for sh in range(5))
-    assert m.draw({}, 10, 1) == [] and m.plan({}, {"a": (1.0, 1)}, 10)["a"]["slots"] == 0
+    assert m.plan({}, {"a": (1.0, 1)}, 10)["a"]["slots"] == 0
+
+
+def test_draw(spark):
+    slots = {"a": 333, "b": 200, "none": 0}
+    for groups in (1, 2, 512):
+        d = m.draw(spark, slots, 100, 1, groups).collect()
+        for at, total in enumerate(slots.values()):
+            mine = sorted((r["first"], r["count"]) for r in d if r["at"] == at)
+            assert sum(n for _, n in mine) == total and all(a + n == b for (a, n), (b, _) in zip(mine, mine[1:]))
+        assert [sum(r["count"] for r in d if r["shard"] == k) for k in range(6)] == [100] * 5 + [33]
+    assert m.draw(spark, {}, 10, 1).collect() == [] and m.draw(spark, {"a": 0}, 10, 1).collect() == []
+
+
+def test_draw_of_very_many_blocks_stays_on_the_tasks():
+    slots = {"a": 70_000_000_000, "b": 29_000_000_000, "c": 7}
+    rows = m.grouped(slots, 1024, 3)
+    assert len(rows) <= m.GROUPS and [sum(r[3][i] for r in rows) for i in range(3)] == list(slots.values())
+    shares = [r[3][0] / sum(r[3]) for r in rows]
+    assert all(abs(x - 70 / 99) < 0.001 for x in shares) and len(set(shares)) > 1
 
 
 def _docs(spark):
