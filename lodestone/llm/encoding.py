@@ -1,6 +1,7 @@
 """Texts that were decoded with the wrong encoding: which, by what chain, and the original where it can be had back.
 
-1. A sample of texts of bounded size gives words with characters beyond ASCII. Each is garbled by every chain in `CHAINS`.
+1. A sample of different texts, about `SAMPLE` at any size, gives words with characters beyond ASCII and how many texts have
+   them; `WORDS` of the most common, of up to `LONGEST` characters, are garbled by every chain in `CHAINS`. Only they come to the driver.
 2. A multinomial classifier is fitted on hashed byte bigrams of these words, one class for each chain and one for clean text.
    Words of the sample that it finds garbled leave the clean class, and it is fitted again.
 3. In every text each word is given its most likely class. A chain counts for a text by the sum of how much likelier than
@@ -32,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, WORDS, BUCKETS, SMOOTH = 1500, 4000, 1 << 15, 0.01
+SAMPLE, WORDS, LONGEST, BUCKETS, SMOOTH = 1500, 4000, 64, 1 << 15, 0.01
+#: Of the words of the sample beyond `WORDS`, so many more are kept to tell garbled forms of common words.
+_SEEN = 50_000
 #: How much likelier than clean text (natural logarithms) a chain must make a word, and the different words of a text
 #: together; less is asked where the chain's inverse is checked by UTF-8, which other text hardly ever is by chance.
-WORD_GAIN, TEXT_GAIN, UTF8_GAIN, ALONE_GAIN, BETTER, KNOWN, TRIED = 2.0, 9.0, 5.0, 9.0, 0.3, 4, 4
+WORD_GAIN, TEXT_GAIN, UTF8_GAIN, ALONE_GAIN, BETTER, KNOWN = 2.0, 9.0, 5.0, 9.0, 0.3, 4
 _EDGE = ".,:;!?()[]{}\"'`*_-|<>"
 
 _WORD = re.compile("[^\x00-\x20]+")
@@ -149,9 +152,11 @@ class Classifier:
                 total = np.zeros((len(new), gain.shape[1]), np.float32)
             np.add.at(total, [i for i, _ in part], gain)
         if new:
-            top = np.argsort(-total, 1)[:, :TRIED]
-            for w, chains, gains in zip(new, top.tolist(), np.take_along_axis(total, top, 1).tolist()):
-                self._known[w] = [(c - 1, g) for c, g in zip(chains, gains) if g > 0 and c]
+            likely = total > 0
+            likely[:, 0] = False
+            for w, row, gains in zip(new, likely, total):
+                at = np.flatnonzero(row)
+                self._known[w] = [(int(c) - 1, float(gains[c])) for c in at[np.argsort(-gains[at], kind="stable")]]
         return [self._known[w] for w in words]
 
 
@@ -174,10 +179,19 @@ class _Garbled:
         return np.bincount(self.grams, weights[self.of], BUCKETS)
 
 
+def sampled_words(text: str) -> list[str]:
+    """The different words of a text that a classifier can be fitted on."""
+    return [w for w in dict.fromkeys(words_of(text)) if len(w) <= LONGEST and "\ufffd" not in w]
+
+
 def train(texts: list[str]) -> Classifier | None:
     """The classifier of a sample of texts, most of them clean; equal texts count once."""
-    seen = Counter(w for t in dict.fromkeys(texts) for w in dict.fromkeys(words_of(t)) if "\ufffd" not in w)
-    words = [w for w, _ in seen.most_common(WORDS)]
+    return fitted(Counter(w for t in dict.fromkeys(texts) for w in sampled_words(t)))
+
+
+def fitted(seen: Counter) -> Classifier | None:
+    """The classifier of words with the number of texts that have them."""
+    words = sorted(seen, key=lambda w: (-seen[w], w))[:WORDS]
     if not words:
         return None
     weights = np.array([0 if _copy_of_known(w, seen) else seen[w] for w in words], float)
@@ -311,13 +325,31 @@ def _run(model):
     return run
 
 
+def _split_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts = Counter(w for t in batch.column(0).to_pylist() for w in sampled_words(t))
+        yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
+
+
+def common_words(rows: DataFrame, sample: int) -> Counter:
+    """The words of about `sample` different texts, with how many of these have them; `_SEEN` words of bounded length at most.
+
+    Texts are chosen by their hash, so copies count once and no more than the chosen ones are moved.
+    """
+    h = F.xxhash64("text")
+    different = rows.agg(F.approx_count_distinct(h).alias("n")).first().n
+    chosen = rows.where(F.pmod(h, F.lit(max(1, different // max(1, sample)))) == 0).groupBy(h.alias("h")).agg(F.first("text").alias("text"))
+    counts = chosen.select("text").mapInArrow(_split_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = counts.orderBy(F.desc("n"), "word").limit(_SEEN).toArrow()
+    return Counter(dict(zip(found["word"].to_pylist(), found["n"].to_pylist())))
+
+
 def garbled_documents(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, chain, restored, whole) of each garbled document; restored is null where nothing can be had back."""
     spark = documents.sparkSession
-    rows = documents.where(F.col("doc_id").isNotNull() & F.col("text").rlike("[^\\x00-\\x7f]")).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    order = F.xxhash64("doc_id")
-    texts = [r.text for r in rows.orderBy(order).limit(sample).collect()]
-    model = train(texts)
+    wide = F.octet_length("text") > F.char_length("text")
+    rows = documents.where(F.col("doc_id").isNotNull() & wide).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    model = fitted(common_words(rows, sample))
     if model is None:
         return spark.createDataFrame([], "doc_id long, chain string, restored string, whole boolean")
     found = rows.mapInArrow(_run(spark.sparkContext.broadcast(Classifier(model.table, model.chains, model.known))), "doc_id long, chain string, restored string, whole boolean")
