@@ -5,13 +5,14 @@
 2. A class keeps the k smallest hashes, its sketch. A value in the sketch of the union of two sets is in both sketches if
    and only if both sets have it, so of two sets of similarity t about t k such values are shared.
 3. Inverted lists of retained values give candidates. As at least `least_shared` values are shared (what that loses is in
-   `lost_pairs`), each class may leave out its `least_shared - 1` most frequent ones: rarer shared ones remain. Values that are
-   still in more than `frequent` classes are taken in twos, and twos that are in threes, which the same count allows; so text
-   that many classes have in common doesn't make all of them candidates of one another, and the lists stay short at any size.
-   Classes of so few shingles that one or two values can be all they share are also joined on frequent ones and twos.
-4. The union's sketch estimates the similarity of each candidate; those far below the threshold go.
-5. The rest are verified on their whole sets of shingles, by counting. Only classes that are in some candidate are shingled
-   again; a filter of fixed size tells the scan which these are.
+   `lost_pairs`), each class may leave out its `least_shared - 1` most frequent ones: rarer shared ones remain. The union's sketch estimates
+   the similarity of each candidate; those far below the threshold go.
+4. Values that are still in more than `frequent` classes make no candidates, so text that many classes have in common doesn't make
+   all of them candidates of one another. The classes that have such values are compared with each other on their whole sets, exactly:
+   two sets of similarity t or more share one of the rarest 1 - t of the larger and of the rarest 1 - 2t/(1+t) of the smaller set
+   (each and one more), rarity being the same for all. Lists of these are long only where that much of the sets is alike.
+5. All candidates are verified on their whole sets. Only classes of some candidate or with frequent values are shingled again;
+   a filter of bits in proportion to their number tells the scan which these are.
 
 Defined results
 - a word is a longest run of a-z, 0-9 and _ in the lower-cased text; fewer than `words` words: no shingle, never similar
@@ -35,7 +36,8 @@ from pyspark.sql import functions as F
 from lodestone.session import written
 
 WORDS, THRESHOLD, SKETCH, LEAST_SHARED, FREQUENT = 3, 0.6, 24, 5, 8
-_FILTER_BITS = 25
+#: The filter has eight bits a class at least, 4 MB at least and 128 MB at most; beyond 10^8 classes it lets more through, and all is checked by a join.
+_LEAST_BITS, _MOST_BITS = 25, 30
 _WORD = re.compile("[a-z0-9_]+")
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -94,37 +96,36 @@ def _sketches(words: int, k: int):
     return run
 
 
-def _positions(c: int) -> tuple[int, int]:
-    mask = (1 << _FILTER_BITS) - 1
-    return c & mask, c >> _FILTER_BITS & mask
+def _holds(bits: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Whether the filter may hold each class."""
+    size = len(bits) << 6
+    found = np.ones(len(c), np.bool_)
+    for p in (c & (size - 1), c >> 31 & (size - 1)):
+        found &= (bits[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1)).astype(np.bool_)
+    return found
+
+
+def _filter(classes: DataFrame) -> np.ndarray:
+    """A Bloom filter of the classes c; made by bit_or, so that only its words move."""
+    width = min(_MOST_BITS, max(_LEAST_BITS, (8 * classes.count()).bit_length()))
+    mask = (1 << width) - 1
+    at = F.explode(F.array(F.col("c").bitwiseAND(F.lit(mask)), F.shiftright("c", 31).bitwiseAND(F.lit(mask))))
+    rows = classes.select(at.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (width - 6), np.int64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    return out.view(np.uint64)
 
 
 def _kept(bits):
     """The classes that the filter lets pass, before their sketches are moved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = bits.value
-        mask = (1 << _FILTER_BITS) - 1
         for batch in batches:
-            c = batch.column(0).to_numpy()
-            keep = np.ones(len(c), np.bool_)
-            for p in (c & mask, c >> _FILTER_BITS & mask):
-                keep &= (wanted[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1)).astype(np.bool_)
-            yield batch.filter(pa.array(keep))
+            yield batch.filter(pa.array(_holds(bits.value, batch.column(0).to_numpy())))
 
     return run
 
 
-def _filter(classes: DataFrame) -> np.ndarray:
-    """A Bloom filter of the classes c: 2^25 bits, however many they are; made by bit_or, so that only its words move."""
-    mask = (1 << _FILTER_BITS) - 1
-    at = F.explode(F.array(F.col("c").bitwiseAND(F.lit(mask)), F.shiftright("c", _FILTER_BITS).bitwiseAND(F.lit(mask))))
-    rows = classes.select(at.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(1 << (_FILTER_BITS - 6), np.int64)
-    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
-    return out.view(np.uint64)
-
-
 def _pairs_of(lists: DataFrame) -> DataFrame:
     """(a, b), a < b, of (key, c) whose lists are short: each list is gathered once and paired where it stands."""
     gathered = lists.groupBy("key").agg(F.array_sort(F.collect_list("c")).alias("l")).where(F.size("l") > 1)
@@ -132,47 +133,31 @@ def _pairs_of(lists: DataFrame) -> DataFrame:
     return a.select("a", F.explode(F.slice("l", F.col("i") + 2, F.size("l"))).alias("b"))
 
 
-def _joined(lists: DataFrame) -> DataFrame:
-    """(a, b), a < b, of (key, c) whose lists may be long: a join, which splits what is skewed."""
-    a, b = lists.select("key", F.col("c").alias("a")), lists.select("key", F.col("c").alias("b"))
-    return a.join(b, "key").where("a < b").select("a", "b")
-
+def _ordered(classes: DataFrame, threshold: float, least_shared: int) -> DataFrame:
+    """(c, f, v): the retained values of each class that some other class has too, but for as many of the most frequent as it may leave out."""
+    each = classes.select("c", "n", F.explode("sketch").alias("v"))
+    counts = each.groupBy("v").agg(F.count("*").alias("f")).where("f > 1")
+    need = F.least(F.lit(least_shared), F.ceil(F.col("n") * threshold).cast("int"))
+    # Rarest first; values of one class only come before all of them and need no room.
+    order = each.join(counts, "v").groupBy("c", "n").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("o"))
+    return order.select("c", F.explode(F.slice("o", 1, F.greatest(F.lit(0), F.size("o") - need + 1))).alias("x")).select("c", "x.f", "x.v")
 
-def _few(lists: DataFrame, shared: int, threshold: float) -> DataFrame:
-    """(a, b), a < b, of (key, c, n) that share a key of `shared` values and, by their sizes, may be similar without any more.
 
-    n is null if the sketch is not the whole set; such classes may share values outside of it.
-    """
-    a, b = lists.select("key", F.col("c").alias("a"), F.col("n").alias("na")), lists.select("key", F.col("c").alias("b"), F.col("n").alias("nb"))
-    enough = F.coalesce((F.col("na") + F.col("nb") - shared) * threshold <= shared + 1e-6, F.lit(True))
-    return a.join(b, "key").where(F.col("a") < F.col("b")).where(enough).select("a", "b")
+def _on_whole_sets(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: every pair of (c, whole) that may be similar, by the prefixes of the sets in order of rarity."""
+    each = sets.select("c", F.size("whole").alias("n"), F.explode("whole").alias("v"))
+    counts = each.groupBy("v").agg(F.count("*").alias("f")).where("f > 1")
+    order = each.join(counts, "v").groupBy("c", "n").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("o"))
+    n, alone = F.col("n"), F.col("n") - F.size("o")  # values of one class only are the rarest
 
+    def prefix(share: float) -> DataFrame:
+        length = n - F.ceil(n * share - 1e-6).cast("int") + 1 - alone
+        return order.select("c", "n", F.explode(F.slice("o", 1, F.greatest(F.lit(0), length))).alias("x")).select("c", "n", F.col("x.v").alias("v"))
 
-def _candidates(classes: DataFrame, threshold: float, least_shared: int, frequent: int) -> DataFrame:
-    """Distinct (a, b), a < b, of classes that share a rare retained value, or several frequent ones."""
-    each = classes.select("c", "n", (F.size("sketch") == F.col("n")).alias("whole"), F.explode("sketch").alias("v"))
-    counts = each.groupBy("v").agg(F.count("*").alias("f")).where("f > 1")
-    shared = each.join(counts, "v")
-    need = F.least(F.lit(least_shared), F.ceil(F.col("n") * threshold).cast("int"))
-    # All values that some other class has too, rarest first; values of one class only come before them and need no room.
-    ordered = written(shared.groupBy("c", "n", "whole").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("o")).select("c", need.alias("need"), F.when(F.col("whole"), F.col("n")).alias("n"), "o"), "values")
-    size = F.size("o")
-    one = ordered.select("c", "need", "n", "o", F.posexplode("o").alias("i", "x")).where(F.col("i") < size - F.col("need") + 1)
-    rare = F.col("x.f") <= frequent
-    pairs = _pairs_of(one.where(rare).select("c", F.col("x.v").alias("key")))
-    if threshold <= 0.5:  # one common value can be all that two similar sets have, so frequent ones can't wait for a second
-        return pairs.unionByName(_joined(one.where(~rare).select("c", F.col("x.v").alias("key")))).distinct()
-    pairs = pairs.unionByName(_few(one.where(~rare & (F.col("need") < 2)).select("c", "n", F.col("x.v").alias("key")), 1, threshold))
-    later = lambda at, spare: F.slice("o", F.col(at) + 2, F.greatest(F.lit(0), size - F.greatest(F.col("need") - spare, F.lit(0)) - F.col(at) - 1))
-    two = one.where(~rare).select("c", "need", "n", "i", F.col("x.v").alias("v"), F.posexplode(later("i", 2)).alias("j", "y"))
-    two = two.select("c", "need", "n", (F.col("i") + 1 + F.col("j")).alias("j"), F.xxhash64("v", "y.v").alias("key"))
-    sized = two.join(two.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
-    pairs = pairs.unionByName(_pairs_of(sized.where(F.col("size") <= frequent).select("c", "key")))
-    pairs = pairs.unionByName(_few(sized.where((F.col("size") > frequent) & (F.col("need") < 3)).select("c", "n", "key"), 2, threshold))
-    three = sized.where(F.col("size") > frequent).select("c", "j", F.col("key").alias("v")).join(ordered, "c")
-    three = three.select("c", "v", F.explode(later("j", 3)).alias("y")).select("c", F.xxhash64("v", "y.v").alias("key"))
-    several = three.join(three.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"), "key")
-    return pairs.unionByName(_joined(several)).distinct()
+    larger, smaller = prefix(threshold).alias("l"), prefix(2 * threshold / (1 + threshold)).alias("s")
+    fits = (F.col("s.n") >= F.col("l.n") * threshold - 1e-6) & ((F.col("s.n") < F.col("l.n")) | ((F.col("s.n") == F.col("l.n")) & (F.col("s.c") < F.col("l.c"))))
+    pairs = larger.join(smaller, F.col("l.v") == F.col("s.v")).where(fits)
+    return pairs.select(F.least("l.c", "s.c").alias("a"), F.greatest("l.c", "s.c").alias("b")).distinct()
 
 
 def similar_classes(chunks: DataFrame, key: str = "chunk_id", text: str = "content", words: int = WORDS, threshold: float = THRESHOLD, sketch: int = SKETCH, least_shared: int = LEAST_SHARED, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
@@ -183,7 +168,9 @@ def similar_classes(chunks: DataFrame, key: str = "chunk_id", text: str = "conte
     # Shingling twice costs less than moving the sketches once for their keys and once more for their classes.
     members = written(shingled.groupBy("key").agg(F.max("c").alias("c")), "members")
     classes = written(shingled.groupBy("c").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    pairs = written(_candidates(classes, threshold, least_shared, frequent), "candidates")
+    values = written(_ordered(classes, threshold, least_shared), "values")
+    pairs = written(_pairs_of(values.where(F.col("f") <= frequent).select("c", F.col("v").alias("key"))).distinct(), "candidates")
+    crowded = written(values.where(F.col("f") > frequent).select("c").distinct(), "crowded")
     bits = spark.sparkContext.broadcast(_filter(pairs.select(F.explode(F.array("a", "b")).alias("c"))))
     sketched = classes.mapInArrow(_kept(bits), "c long, n int, sketch array<long>")
     side = lambda x: sketched.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
@@ -192,11 +179,14 @@ def similar_classes(chunks: DataFrame, key: str = "chunk_id", text: str = "conte
     shared = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
     need = F.when(F.size(union) < sketch, F.ceil(F.size(union) * threshold).cast("int")).otherwise(F.lit(least_shared))
     near = written(both.where(shared >= need).select("a", "b"), "near")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    wanted = written(near.select(F.explode(F.array("a", "b")).alias("c")).unionByName(crowded).distinct(), "wanted")
     bits = spark.sparkContext.broadcast(_filter(wanted))
     texts = rows.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).mapInArrow(_again(words, bits), "c long, whole array<long>")
-    sets = texts.join(wanted, "c", "left_semi").dropDuplicates(["c"])
-    one = near.join(sets.select(F.col("c").alias("a"), F.col("whole").alias("wa")), "a")
+    # Copies are put together before the shuffle, so a class that a third of all rows have is no hot key.
+    sets = written(texts.groupBy("c").agg(F.first("whole").alias("whole")).join(wanted, "c", "left_semi"), "sets")
+    exact = _on_whole_sets(sets.join(crowded, "c", "left_semi"), threshold)
+    each = near.unionByName(exact).distinct()
+    one = each.join(sets.select(F.col("c").alias("a"), F.col("whole").alias("wa")), "a")
     two = one.join(sets.select(F.col("c").alias("b"), F.col("whole").alias("wb")), "b")
     common = two.select("a", "b", F.size(F.array_intersect("wa", "wb")).alias("x"), F.size("wa").alias("na"), F.size("wb").alias("nb"))
     similarity = F.col("x") / (F.col("na") + F.col("nb") - F.col("x"))
@@ -207,17 +197,11 @@ def _again(words: int, bits):
     """The whole sets of the texts whose class is in the filter; the class is known only after shingling."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = bits.value
         for batch in batches:
-            ones, parts = [], []
-            for text in batch.column(1).to_pylist():
-                v = shingles(text, words)
-                if not len(v):
-                    continue
-                c = _class(v)
-                if all(int(wanted[p >> 6]) >> (p & 63) & 1 for p in _positions(c)):
-                    ones.append(c)
-                    parts.append(v)
+            each = [v for text in batch.column(1).to_pylist() if len(v := shingles(text, words))]
+            every = np.fromiter(map(_class, each), np.int64, len(each))
+            keep = _holds(bits.value, every)
+            ones, parts = every[keep], [v for v, k in zip(each, keep) if k]
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
             flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ones, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["c", "whole"])

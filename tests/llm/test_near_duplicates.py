@@ -93,3 +93,29 @@ def test_a_single_shared_value_can_do(spark):
     rows = _corpus(120, 9, boiler=30) + [(f"x{i:02d}", f"a b c d x{i}") for i in range(12)] + [("s", "a b c d")]
     got = {tuple(r) for r in nd.near_duplicate_pairs(_frame(spark, rows), frequent=3, least_shared=1).collect()}
     assert got == _brute(rows)
+
+
+def _headed(n, shared, own):
+    rng = random.Random(n)
+    head = " ".join(f"h{i}" for i in range(shared))
+    return [nd.shingles(head + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(own))) for _ in range(n)]
+
+
+def test_a_shared_header_makes_no_candidates(spark):
+    """Half of the words of all texts are a header, so each two have a similarity of a third."""
+    for n in (250, 500, 1000):
+        each = _headed(n, 70, 70)
+        sketches = spark.createDataFrame([(i, len(v), v[:24].tolist()) for i, v in enumerate(each)], "c long, n int, sketch array<long>")
+        values = nd._ordered(sketches, 0.6, 5)
+        crowded = values.where("f > 8").select("c").distinct()
+        assert crowded.count() > 0.9 * n
+        sets = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(each)], "c long, whole array<long>")
+        assert nd._on_whole_sets(sets, 0.6).count() == 0
+        # A few of the header's values stand at the end of few sketches; such lists have eight classes at most.
+        assert nd._pairs_of(values.where("f <= 8").select("c", F.col("v").alias("key"))).count() <= 200
+
+
+def test_filter(spark):
+    c = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 5000)
+    bits = nd._filter(spark.createDataFrame([(int(x),) for x in c], "c long"))
+    assert nd._holds(bits, c).all() and nd._holds(bits, c + 1).mean() < 0.01
