@@ -12,6 +12,8 @@ from dataclasses import dataclass
 import numpy as np
 
 _BATCH = 1024
+#: Where a search enters a layer, and from how many nodes on a graph has an upper one; the top layer is looked through in full.
+_ENTRIES, _LAYERED = 4, 256
 
 
 @dataclass
@@ -43,30 +45,29 @@ class Graph:
         return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
     def _search(self, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        if self.layers:
-            top = queries @ self.vectors[self.layers[-1]].T
-            at = top.argmax(1)
-            for k in range(len(self.layers) - 1, -1, -1):
-                layer, links = self.layers[k], self.upper[k]
-                ids, _ = beam(self.vectors[layer], links, queries, at[:, None], 2)
-                at = ids[:, 0]
-                if k:
-                    at = np.searchsorted(self.layers[k - 1], layer[at])
-                else:
-                    at = layer[at]
-        else:
-            at = np.zeros(len(queries), np.int64)
-        return beam(self.vectors, self.base, queries, at[:, None], width)
+        if not self.layers:
+            return beam(self.vectors, self.base, queries, np.zeros((len(queries), 1), np.int64), width)
+        last = self.layers[-1]
+        s = queries @ self.vectors[last].T
+        few = min(_ENTRIES, len(last))
+        at = np.argpartition(-s, few - 1, 1)[:, :few]
+        for k in range(len(self.layers) - 1, -1, -1):
+            layer = self.layers[k]
+            if k < len(self.layers) - 1:
+                at, _ = beam(self.vectors[layer], self.upper[k], queries, at, _ENTRIES)
+            at = np.where(at < 0, -1, layer[at] if not k else np.searchsorted(self.layers[k - 1], layer[at]))
+        return beam(self.vectors, self.base, queries, at, width)
 
 
 def beam(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best-first search from start (one or more nodes a query) that keeps the `width` best."""
+    """Best-first search from start (different nodes for each query, -1 for none) that keeps the `width` best."""
     b, n, m = len(queries), len(vectors), links.shape[1]
     rows = np.arange(b)
     ids = np.full((b, width), -1, np.int64)
     sims = np.full((b, width), -2, np.float32)
     s = start.shape[1]
-    ids[:, :s], sims[:, :s] = start[:, :width], np.einsum("bd,bsd->bs", queries, vectors[start[:, :width]])
+    ids[:, :s] = start
+    sims[:, :s] = np.where(start < 0, -2, np.einsum("bd,bsd->bs", queries, vectors[start]))
     done = ids < 0
     seen = np.zeros((b, n + 1), np.bool_)  # the last column stands for the filler -1
     seen[:, n] = True
@@ -188,7 +189,7 @@ def build(vectors: np.ndarray, m: int = 8, width: int = 24, seed: int = 1) -> Gr
     vectors = np.ascontiguousarray(vectors, np.float32)
     layers, n = [], len(vectors)
     below = np.arange(n)
-    while len(below) > 4 * _BATCH:
+    while len(below) > 4 * _BATCH or (not layers and len(below) > _LAYERED):
         below = np.sort(rng.choice(below, len(below) // m, replace=False))
         layers.append(below)
     upper: list[np.ndarray] = [np.zeros((0, 0), np.int32)] * len(layers)

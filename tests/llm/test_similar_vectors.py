@@ -63,3 +63,27 @@ def test_centroids():
     assert sv.fit_centroids(x, 4).shape == (4, 64) and sv.fit_centroids(x[:2], 9).shape == (2, 64)
     with pytest.raises(ValueError):
         sv.fit_centroids(x[:0], 1)
+
+
+def test_shards_stay_small_with_a_third_in_one_cluster(spark):
+    rng = np.random.default_rng(8)
+    x = _clustered(6000, 8, per=40)
+    x[:2000] = 1.5 * rng.normal(size=64) + 0.25 * rng.normal(size=(2000, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vid long, vector array<float>")
+    tree = sv.fit_tree(df, len(x), 400, sv.MARGIN, sv.PROBED)
+    row, shard, home = tree.route(sv._unit(df.select("vector").toArrow()["vector"]), sv.MARGIN, sv.PROBED)
+    assert home.sum() == len(x) and np.bincount(shard[home]).max() <= 800 and (tree.pieces == 1).all()
+    assert np.bincount(row).max() <= sv.PROBED
+    got = {r.vid: [y.vid for y in r.near] for r in sv.nearest_distinct(df, shard_size=400).collect()}
+    assert all(len(set(v)) == 5 for v in got.values())
+    assert np.mean([len(set(got[i]) & set(t)) / 5 for i, t in enumerate(_brute(x, 5).tolist())]) > 0.9
+
+
+def test_what_centroids_cannot_divide_is_divided_by_hash(spark):
+    rng = np.random.default_rng(9)
+    x = (np.ones(64) + 1e-9 * rng.normal(size=(1200, 64))).astype(np.float64)
+    x[:, 0] += np.arange(1200) * 1e-4
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vid long, vector array<float>")
+    tree = sv.fit_tree(df, len(x), 50, 0.13, 3)
+    tree.pieces[:] = 2
+    assert sv.nearest_distinct(df, shard_size=50).count() == 1200
