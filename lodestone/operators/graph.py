@@ -1,11 +1,13 @@
 """Operators on directed graphs given as edges (src, dst), optionally within a partition column.
 
-Loops run a bounded number of rounds; each round's result is written to the shared folder, so plans stay short and a lost
-executor costs one round at most. Nothing is collected but counts.
+Loops run until nothing changes; where a bound on the rounds is given and met before that, they raise. Each round's result is
+written to the shared folder, so plans stay short and a lost executor costs one round at most. Nothing is collected but counts.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,12 +38,18 @@ def within(edges: DataFrame, seeds: DataFrame, depth: int, directed: bool = Fals
     return reached.where("distance > 0")
 
 
-def reachable(edges: DataFrame, pairs: DataFrame, most: int = 64) -> DataFrame:
-    """pairs (seed, node) with `found`: whether a directed path of up to `most` edges leads from seed to node. Stops when nothing new is reached."""
+class Unfinished(RuntimeError):
+    """A loop met its bound on rounds before its end."""
+
+
+def reachable(edges: DataFrame, pairs: DataFrame, most: int | None = None) -> DataFrame:
+    """pairs (seed, node) with `found`: whether a directed path leads from seed to node. Unfinished, if some path may have more than `most` edges."""
     near = written(edges.select(F.col("src").alias("node"), F.col("dst").alias("other")).distinct(), "edges")
     reached = written(pairs.select("seed", F.col("seed").alias("node")).distinct(), "reached")
     front = reached
-    for _ in range(most):
+    for n in count():
+        if n == most:
+            raise Unfinished(f"new nodes are reached after {most} edges")
         step = front.join(near, "node").select("seed", F.col("other").alias("node")).distinct()
         front = written(step.join(reached, ["seed", "node"], "left_anti"), "front")
         if front.isEmpty():
@@ -51,7 +59,7 @@ def reachable(edges: DataFrame, pairs: DataFrame, most: int = 64) -> DataFrame:
     return pairs.join(found, ["seed", "node"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
-def components(nodes: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """(node, component): connected components, undirected, named by their smallest node.
 
     Alternates large-star and small-star steps until no edge changes, which takes a number of rounds in the order of the logarithm
@@ -69,7 +77,9 @@ def components(nodes: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
         return moved.where("u <> v").distinct()
 
     state = None
-    for _ in range(most):
+    for n in count():
+        if n == most:
+            raise Unfinished(f"components change after {most} rounds")
         e = written(stars(stars(e, True), False), "stars")
         now = e.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
         if now == state:
@@ -97,8 +107,8 @@ def edge_faults(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     missing = edges.join(known, edges["src"] == known["node"], "left_anti").unionByName(edges.join(known, edges["dst"] == known["node"], "left_anti")).distinct()
     loops = edges.where("src = dst")
     repeats = edges.groupBy("src", "dst").count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("n"))
-    count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("fault"), "n")
-    return count(missing, "missing_end").unionByName(count(loops, "self_loop")).unionByName(repeats.select(F.lit("repeat").alias("fault"), "n"))
+    total = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("fault"), "n")
+    return total(missing, "missing_end").unionByName(total(loops, "self_loop")).unionByName(repeats.select(F.lit("repeat").alias("fault"), "n"))
 
 
 def short_cycles(edges: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import search_terms
+from lodestone.session import written
 
 K1, B, EPSILON, RRF = 1.5, 0.75, 0.25, 60
 _BLOCK = 4096
@@ -23,27 +24,46 @@ def postings(documents: DataFrame, key: str, text: str) -> DataFrame:
     return terms.select("key", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("key", "dl", "term").agg(F.count("*").alias("tf"))
 
 
+def lexical_index(documents: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(postings, terms (term, df, idf), totals (docs, mean_dl, mean_idf) in one row), written once; any number of searches reads them.
+
+    The texts are read once, by the postings; how many documents there are needs no column.
+    """
+    p = written(postings(documents, key, text), "postings")
+    totals = documents.agg(F.count("*").alias("docs")).crossJoin(p.agg(F.sum("tf").alias("words"))).select("docs", (F.col("words") / F.col("docs")).alias("mean_dl"))
+    df = p.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))  # one row
+    terms = written(df.select("term", "df", (F.ln(F.col("docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("idf")), "terms")
+    return p, terms, totals.crossJoin(terms.agg(F.avg("idf").alias("mean_idf")))
+
+
 def bm25(documents: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", k: int = 10) -> DataFrame:
+    """Searches a new index of the documents, see `search`."""
+    return search(lexical_index(documents, key, text), queries, key, k)
+
+
+def search(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFrame, key: str = "doc_id", k: int = 10) -> DataFrame:
     """(query_id, key, score, rank): the k best documents of each query, by score (to nine places, as the order of adding shows beyond) and then key; scores of 0 or less don't count.
 
-    queries has query_id and terms, an array in which a repeated term counts again; it is a stated, small set.
+    queries has query_id and terms, an array in which a repeated term counts again. Postings meet the terms asked for by a join, which
+    the optimizer makes a broadcast only if they are few.
     A term's weight is ln(N - df + 0.5) - ln(df + 0.5); where that is negative, EPSILON times the mean weight of all terms.
     Documents without any term count in N and in the mean length.
     """
-    p = postings(documents, key, text)
-    totals = documents.select(F.size(search_terms(F.col(text))).alias("dl")).agg(F.count("*").alias("docs"), F.avg("dl").alias("mean_dl"))
-    df = p.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))
-    weighted = df.select("term", "docs", "mean_dl", (F.ln(F.col("docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("idf"))
-    mean = weighted.agg(F.avg("idf").alias("mean_idf"))
+    p, terms, totals = index
     asked = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    weighted = weighted.join(F.broadcast(asked), "term").crossJoin(F.broadcast(mean))
+    weighted = terms.join(asked, "term").crossJoin(F.broadcast(totals))  # one row
     weighted = weighted.withColumn("idf", F.when(F.col("idf") < 0, F.col("mean_idf") * EPSILON).otherwise(F.col("idf")))
     tf = F.col("tf")
     part = F.col("qf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("mean_dl")))
-    scored = p.join(F.broadcast(weighted), "term").groupBy("query_id", F.col("key").alias(key)).agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")
+    scored = p.join(weighted, "term").groupBy("query_id", F.col("key").alias(key)).agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")
     return ranked(scored, "query_id", key, k)
 
 
+def normalized(hits: DataFrame) -> DataFrame:
+    """hits (query_id, score, ...) with each query's scores over its best; a query has k rows at most."""
+    return hits.withColumn("score", F.col("score") / F.max("score").over(W.partitionBy("query_id")))
+
+
 def ranked(scored: DataFrame, group: str, key: str, k: int, score: str = "score") -> DataFrame:
     order = W.partitionBy(group).orderBy(F.col(score).desc(), F.col(key))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -51,12 +51,9 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH {_BM25} SELECT term, df, round(CASE WHEN idf < 0 THEN eps ELSE idf END, 6) AS weight FROM idf JOIN df USING (term), eps WHERE df > 1")
 def bm25_weights(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    df = retrieval.postings(docs, "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n"))
-    idf = df.crossJoin(F.broadcast(n)).withColumn("idf", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
-    eps = idf.agg((F.avg("idf") * 0.25).alias("eps"))
-    return idf.crossJoin(F.broadcast(eps)).where("df > 1").select("term", "df", F.round(F.when(F.col("idf") < 0, F.col("eps")).otherwise(F.col("idf")), 6).alias("weight"))
+    _, terms, totals = retrieval.lexical_index(table(spark, d, "documents"))
+    weight = F.when(F.col("idf") < 0, F.col("mean_idf") * retrieval.EPSILON).otherwise(F.col("idf"))
+    return terms.where("df > 1").crossJoin(F.broadcast(totals)).select("term", "df", F.round(weight, 6).alias("weight"))
 
 
 _UNIT = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
@@ -85,9 +82,9 @@ def label_centroids(spark: SparkSession, d: str) -> DataFrame:
 
 def _channels(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     lexical = retrieval.bm25(table(spark, d, "documents"), _asked(spark))
-    best = lexical.groupBy("query_id").agg(F.max("score").alias("best"))
-    lexical = lexical.join(best, "query_id").withColumn("score", F.col("score") / F.col("best"))
-    dense = _dense(spark, d).where(F.col("query_id") < 20 * len(ASKED)).select((F.col("query_id") / 20).cast("long").alias("query_id"), F.col("id").alias("doc_id"), "score", "rank")
+    lexical = retrieval.normalized(lexical)
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    dense = retrieval.dense(v, v.where((F.col("id") % 20 == 0) & (F.col("id") < 20 * len(ASKED))), 10).select((F.col("query_id") / 20).cast("long").alias("query_id"), F.col("id").alias("doc_id"), "score", "rank")
     return {"dense": dense, "keyword": lexical}
 
 

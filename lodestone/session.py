@@ -35,11 +35,14 @@ def build_session(app: str = "lodestone", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir.
 
-    Only where the setting is missing (tests on one machine) a temporary folder is made, once for each application.
+    Only where the setting is missing on one machine (as in tests) a temporary folder is made, once for each application; on a
+    cluster, where executors wouldn't share it, that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
