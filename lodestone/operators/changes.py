@@ -109,3 +109,32 @@ def changed_lines(diffs: DataFrame, key: str = "key", diff: str = "diff") -> Dat
     touched = touched.unionByName(silent.select("key", F.explode(F.expr("sequence(start, start + length - 1)")).alias("new_line"))).distinct()
     island = F.col("new_line") - F.row_number().over(W.partitionBy("key").orderBy("new_line"))
     return touched.withColumn("island", island).groupBy("key", "island").agg(F.min("new_line").alias("first_line"), F.max("new_line").alias("last_line")).drop("island").withColumnRenamed("key", key)
+
+
+#: Words in a diff that hint at a move, a refactoring, a change of behaviour.
+ORGANIZATION_WORDS = [
+    "reorganize", "reorganized", "reorganization", "organize", "organization", "move", "moved", "split", "split up", "extract", "relocate",
+    "module", "package", "directory", "import order", "reorder import",
+]
+REFACTOR_WORDS = ["refactor", "refactored", "cleanup", "clean up", "simplify", "simplified", "consolidate", "consolidated", "extract helper", "deduplicate", "reduce duplication"]
+BEHAVIOUR_WORDS = ["poll", "watch", "monitor", "callback", "invoke", "sync", "state", "login", "logout", "session", "identity", "track", "activity", "window"]
+
+
+def _says(text: Column, words: list[str]) -> Column:
+    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+
+
+def diff_signals(diff: Column) -> Column:
+    """What the words of a diff and of the symbols hint at: struct(helper, organization, refactor, behavioral)."""
+    text = F.lower(F.coalesce(diff, F.lit("")))
+    names = F.lower(F.concat_ws(" ", F.col("added_symbols.name"), F.col("modified_symbols.name"), F.col("removed_symbols.name")))
+    behavioral = _says(text, BEHAVIOUR_WORDS)
+    helper = (_says(text, HELPER_WORDS) | _says(names, HELPER_WORDS)) & _some("added_symbols") & ~_some("modified_symbols")
+    refactor = _says(text, REFACTOR_WORDS) | (_some("modified_symbols") & behavioral)
+    return F.struct(helper.alias("helper"), _says(text, ORGANIZATION_WORDS).alias("organization"), refactor.alias("refactor"), behavioral.alias("behavioral"))
+
+
+def keeps_structure(control_flow_changed: Column, calls_changed: Column, signature_changed: Column) -> Column:
+    """Whether a change rewrites bodies only: symbols modified, none added or removed, imports alike, and none of the three signals."""
+    bodies = _some("modified_symbols") & ~_some("added_symbols") & ~_some("removed_symbols") & ~_some("imports_added") & ~_some("imports_removed")
+    return bodies & ~control_flow_changed & ~calls_changed & ~signature_changed

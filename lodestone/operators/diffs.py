@@ -71,3 +71,44 @@ def signed(secret: str | None, body: Column, header: Column) -> Column:
         return pd.Series([b is not None and h is not None and hmac.compare_digest("sha256=" + hmac.new(secret.encode(), b.encode() if isinstance(b, str) else bytes(b), hashlib.sha256).hexdigest(), h) for b, h in zip(bodies, headers)], dtype=bool)
 
     return F.pandas_udf(check, "boolean")(body, header)
+
+
+_COMMENT_LINE = "^(?:#|//|/\\*|\\*|--|<!--)"
+
+
+def _lines(diff: Column) -> Column:
+    return F.split(F.coalesce(diff, F.lit("")), "\n")
+
+
+def added_code(diff: Column, most: int = 80) -> Column:
+    """The first added lines of a diff that are neither blank nor comments, without sign and white space around them."""
+    added = F.filter(_lines(diff), lambda x: x.startswith("+") & ~x.startswith("+++"))
+    code = F.transform(added, lambda x: F.trim(F.substring(x, 2, (1 << 31) - 1)))
+    return F.slice(F.filter(code, lambda x: (x != "") & ~x.rlike(_COMMENT_LINE)), 1, most)
+
+
+def excerpt(diff: Column, most: int = 8) -> Column:
+    """The first added or removed lines of a diff that aren't blank, with their signs; file headers don't count."""
+    changed = F.filter(_lines(diff), lambda x: x.rlike("^[+-]") & ~x.rlike("^(?:\\+\\+\\+|---)") & ~x.rlike("^[+-][\\t-\\r ]*$"))
+    return F.slice(changed, 1, most)
+
+
+def near_changes(numbered: DataFrame, around: int = 3) -> DataFrame:
+    """The lines of `numbered_diff` at most `around` lines from a change in their hunk, with `hidden`, how many lines were left out before each."""
+    order = W.partitionBy("key").orderBy("position")
+    changed = F.col("kind").isin("added", "removed").cast("int")
+    near = F.max(changed).over(order.rowsBetween(-around, around)) == 1
+    shown = numbered.where("kind <> 'header'").withColumn("__near", near).withColumn("__at", F.row_number().over(order)).where("__near")
+    before = F.coalesce(F.lag("__at").over(order), F.lit(0))
+    return shown.withColumn("hidden", F.col("__at") - before - 1).drop("__near", "__at")
+
+
+def paired_changes(numbered: DataFrame) -> DataFrame:
+    """(key, old_line, new_line, removed, added): removed lines with the added ones that replace them, in order within a run of changes; null where one side is longer."""
+    order = W.partitionBy("key").orderBy("position")
+    rows = numbered.withColumn("__opens", (F.col("kind").isin("same", "header") | (F.coalesce(F.lag("kind").over(order), F.lit("")) == "added") & (F.col("kind") == "removed")).cast("int"))
+    rows = rows.withColumn("__run", F.sum("__opens").over(order)).where("kind in ('added', 'removed')")
+    rows = rows.withColumn("__n", F.row_number().over(W.partitionBy("key", "__run", "kind").orderBy("position")))
+    side = lambda k: F.max(F.when(F.col("kind") == k, F.struct(f"{'old' if k == 'removed' else 'new'}_line", "line")))
+    got = rows.groupBy("key", "__run", "__n").agg(side("removed").alias("r"), side("added").alias("a"))
+    return got.select("key", F.col("r.old_line").alias("old_line"), F.col("a.new_line").alias("new_line"), F.col("r.line").alias("removed"), F.col("a.line").alias("added"))

@@ -118,3 +118,103 @@ def short_cycles(edges: DataFrame) -> DataFrame:
     two = x.join(e.select(F.col("src").alias("b"), F.col("dst").alias("a")), ["a", "b"]).where("a < b").select("a", "b", F.lit(None).cast(dict(e.dtypes)["src"]).alias("c"))
     three = x.join(y, "b").where("a < b and a < c").join(z, ["c", "a"]).select("a", "b", "c")
     return two.unionByName(three)
+
+
+def updated(nodes: DataFrame, edges: DataFrame, changes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) after changes (change, file_path, old_path): added, modified, deleted or renamed files.
+
+    A deleted file goes with all of its edges; a renamed one keeps them under its new name, before the rest is applied; the outgoing
+    edges of added and modified files are those of `new_edges` (src, dst), as far as both ends are there.
+    """
+    moved = changes.where("change = 'renamed' and old_path is not null").groupBy("old_path").agg(F.max("file_path").alias("to"))
+    to = lambda df, c: df.join(moved, F.col(c) == F.col("old_path"), "left").withColumn(c, F.coalesce("to", c)).drop("old_path", "to")
+    gone = changes.where("change = 'deleted'").select(F.col("file_path").alias("node")).distinct()
+    touched = changes.where("change in ('added', 'modified')").select(F.col("file_path").alias("node")).distinct()
+    kept = to(nodes.select("node"), "node").unionByName(touched).unionByName(moved.select(F.col("to").alias("node"))).distinct().join(gone, "node", "left_anti")
+    e = to(to(edges.select("src", "dst"), "src"), "dst").join(touched.withColumnRenamed("node", "src"), "src", "left_anti").select("src", "dst")
+    e = e.unionByName(new_edges.select("src", "dst").join(touched.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst"))
+    e = clean_edges(e).join(kept.withColumnRenamed("node", "src"), "src", "left_semi").join(kept.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    return kept, e.select("src", "dst")
+
+
+def _adjacency(t) -> dict:
+    out: dict = {}
+    for a, b in sorted(set(zip(t["src"].to_pylist(), t["dst"].to_pylist()))):
+        if a is not None and b is not None and a != b:
+            out.setdefault(a, []).append(b)
+    return out
+
+
+def preorder(edges: DataFrame, starts: DataFrame, graph: str, depth: int | None = None) -> DataFrame:
+    """(graph, start, node, position): nodes in the order in which a depth-first walk from start meets them, targets by name.
+
+    edges is (graph, src, dst), starts is (graph, start). A walk's order is sequential, so each graph (the files of a repository) is one task's.
+    """
+    import pyarrow as pa
+
+    def run(e: pa.Table, s: pa.Table) -> pa.Table:
+        near, rows = _adjacency(e), []
+        name = (s if s.num_rows else e)[graph][0].as_py()
+        for start in sorted({x for x in s["start"].to_pylist() if x is not None}):
+            seen, stack, at = {start}, [(iter(near.get(start, [])), 0)], 1
+            rows.append((start, start, 0))
+            while stack:
+                step, d = stack[-1]
+                node = next((x for x in step if x not in seen), None) if depth is None or d < depth else None
+                if node is None:
+                    stack.pop()
+                    continue
+                seen.add(node)
+                rows.append((start, node, at))
+                at += 1
+                stack.append((iter(near.get(node, [])), d + 1))
+        cols = list(zip(*rows)) if rows else [[]] * 3
+        return pa.table({graph: pa.array([name] * len(rows), pa.string()), "start": pa.array(cols[0], pa.string()), "node": pa.array(cols[1], pa.string()), "position": pa.array(cols[2], pa.int32())})
+
+    return edges.groupBy(graph).cogroup(starts.groupBy(graph)).applyInArrow(run, f"{graph} string, start string, node string, position int")
+
+
+def cycles(edges: DataFrame, graph: str) -> DataFrame:
+    """(graph, path): the cycles that closing edges of a depth-first walk show, each set of nodes once, from its smallest node and back to it.
+
+    edges is (graph, src, dst); each graph is one task's, as in `preorder`.
+    """
+    import pyarrow as pa
+
+    def run(e: pa.Table) -> pa.Table:
+        near, done, found = _adjacency(e), set(), {}
+        for start in sorted(near):
+            if start in done:
+                continue
+            path, place, stack = [start], {start: 0}, [iter(near[start])]
+            while stack:
+                node = next(stack[-1], None)
+                if node is None:
+                    stack.pop()
+                    last = path.pop()
+                    del place[last]
+                    done.add(last)
+                elif node in place:
+                    ring = path[place[node] :]
+                    low = ring.index(min(ring))
+                    found.setdefault(frozenset(ring), [*ring[low:], *ring[:low], ring[low]])
+                elif node not in done:
+                    place[node] = len(path)
+                    path.append(node)
+                    stack.append(iter(near.get(node, [])))
+        paths = sorted(found.values())
+        return pa.table({graph: pa.array([e[graph][0].as_py()] * len(paths), pa.string()), "path": pa.array(paths, pa.list_(pa.string()))})
+
+    return edges.select(graph, "src", "dst").groupBy(graph).applyInArrow(run, f"{graph} string, path array<string>")
+
+
+def knowledge(kinds: dict[str, DataFrame], edges: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(node, kind) and (src, dst, relation) of several kinds of nodes and edges, each once; a node of several kinds has a row for each."""
+    nodes = [df.select("node", F.lit(k).alias("kind")) for k, df in kinds.items()]
+    links = [df.select("src", "dst", F.lit(r).alias("relation")) for r, df in edges.items()]
+    n, e = nodes[0], links[0]
+    for x in nodes[1:]:
+        n = n.unionByName(x)
+    for x in links[1:]:
+        e = e.unionByName(x)
+    return n.distinct(), e.where("src is not null and dst is not null").distinct()

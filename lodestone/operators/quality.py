@@ -61,3 +61,43 @@ def mean_by_cycle(tried: DataFrame) -> DataFrame:
     """(cycle, runs, mean_seconds)."""
     seconds = (F.unix_micros(F.col("finished_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1e6
     return tried.groupBy("cycle").agg(F.count("*").alias("runs"), F.avg(seconds).alias("mean_seconds"))
+
+
+#: The scores from which documents pass, with warnings or without; the least faithfulness; below what a weak pass is revised.
+PASS, CLEAN_PASS, FAITHFUL, WEAK_PASS = 70.0, 85.0, 50.0, 75.0
+
+
+def status(score: Column, faithfulness: Column | None = None) -> Column:
+    """PASSED, PASSED_WITH_WARNINGS or FAILED; a null faithfulness wasn't judged."""
+    band = F.when(score >= CLEAN_PASS, "PASSED").when(score >= PASS, "PASSED_WITH_WARNINGS").otherwise("FAILED")
+    return band if faithfulness is None else F.when(faithfulness < FAITHFUL, "FAILED").otherwise(band)
+
+
+def route(error: Column, verdict: Column, score: Column, cycles: Column, most: int = 2) -> Column:
+    """Where documents go after validation: failed, sync or revision."""
+    again = cycles < most
+    return (
+        F.when(F.coalesce(error, F.lit("")) != "", "failed")
+        .when(verdict == "PASSED", "sync")
+        .when(verdict == "PASSED_WITH_WARNINGS", F.when((score < WEAK_PASS) & again, "revision").otherwise("sync"))
+        .otherwise(F.when(again, "revision").otherwise("failed"))
+    )
+
+
+def run_metrics(documents: DataFrame, seconds: float, test_files: int, source_files: int) -> DataFrame:
+    """One row on a run over documents (content, quality, faithfulness): documents that aren't blank, seconds for each, mean scores, tests over sources."""
+    n = F.count_if(~F.coalesce(F.col("content"), F.lit("")).rlike(f"^{SPACE}*$"))
+    each = documents.agg(n.alias("documents"), F.round(F.avg("quality"), 1).alias("quality"), F.round(F.avg("faithfulness"), 1).alias("faithfulness"))
+    ratio = round(test_files / source_files, 4) if source_files else 0.0
+    return each.withColumns({"seconds": F.round(F.lit(float(seconds)), 2), "seconds_each": F.coalesce(F.round(F.try_divide(F.lit(float(seconds)), F.col("documents")), 2), F.lit(0.0)), "test_ratio": F.lit(ratio)})
+
+
+def report(findings: DataFrame, by: str) -> DataFrame:
+    """(by, level, n, messages) of findings (by, level, message): each message once, in order of text. A document has few findings."""
+    return findings.groupBy(by, "level").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("message")).alias("messages"))
+
+
+def prepended(old: Column, header: str, entry: Column) -> Column:
+    """A changelog with a new entry first, under one header."""
+    rest = F.regexp_replace(F.coalesce(old, F.lit("")), f"^\\s*\\Q{header}\\E\\s*", "")
+    return F.when(rest == "", F.concat(F.lit(header + "\n\n"), entry)).otherwise(F.concat(F.lit(header + "\n\n"), entry, F.lit("\n\n"), rest))

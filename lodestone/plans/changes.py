@@ -196,7 +196,9 @@ def event_properties(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("total"), F.count_if(k.isNull()).alias("without"))
 
 
-@_query()
+@_query(f"""WITH t AS (SELECT DISTINCT change_no AS key, greatest(1, s.start_line + 1) AS line FROM (SELECT change_no, unnest(list_concat(added_symbols, removed_symbols)) AS s FROM {_FIRST}) WHERE s.start_line IS NOT NULL AND s.name IS NOT NULL AND s.symbol_type IS NOT NULL),
+    i AS (SELECT *, line - row_number() OVER (PARTITION BY key ORDER BY line) AS island FROM t)
+    SELECT key, min(line) AS first_line, max(line) AS last_line FROM i GROUP BY key, island""")
 def diff_ranges(spark: SparkSession, d: str) -> DataFrame:
     """Hunks made of each change's symbols, as a unified diff would show them."""
     c = ch.first_arrivals(table(spark, d, "code_changes"), "added_symbols", "removed_symbols")
