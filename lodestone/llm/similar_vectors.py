@@ -272,8 +272,10 @@ def nearest_distinct(vectors: DataFrame, k: int = K, shard_size: int = SHARD_SIZ
     if tree is None:
         return spark.createDataFrame([], "vid long, near array<struct<sim:double,vid:long>>")
     routed = vectors.select("vid", "vector").mapInArrow(_route(spark.sparkContext.broadcast(tree), margin, probed), "shard int, piece int, part int, home boolean, vid long, vector array<float>")
-    tasks = max(partitions(spark), int((tree.parts * tree.pieces).sum()))
-    homes = routed.where("home").select("shard", "piece", "vid", "vector").repartition(max(partitions(spark), int(tree.pieces.sum())), "shard", "piece")
+    # Groups are placed by hash, so there are several partitions a group while groups are few, lest some get two or three.
+    groups = int((tree.parts * tree.pieces).sum())
+    tasks = max(partitions(spark), groups, min(8 * groups, 512))
+    homes = routed.where("home").select("shard", "piece", "vid", "vector").repartition(tasks, "shard", "piece")
     index = written(homes.groupBy("shard", "piece").applyInArrow(_index(LINKS, BUILD_WIDTH), _INDEX), "graphs")
     counts = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(zip(tree.pieces, tree.parts)) if a * b > 1], "shard int, pieces int, parts int")
     # Only shards in several pieces or parts are copied: queries to each piece, graphs to each part.
