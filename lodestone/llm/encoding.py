@@ -124,18 +124,28 @@ class Classifier:
         self.table, self.chains, self.known = table, chains, known
         self._known: dict[str, list[tuple[int, float]]] = {}
         self.seen: dict[str, tuple[int, float, str | None]] = {}
+        self._clean_column, self._clean = np.ascontiguousarray(table[:, 0]), {}
 
     def knows(self, word: str) -> bool:
         word = word.strip(_EDGE)
         return word in self.known or word.lower() in self.known or word.capitalize() in self.known
 
-    def scores(self, words: list[str], first: int | None = None) -> np.ndarray:
-        """log likelihood of each word under each class, or under the first ones only."""
+    def clean(self, word: str) -> float:
+        """log likelihood of a word as clean text, a feature."""
+        if word not in self._clean:
+            if len(self._clean) > 300_000:
+                self._clean.clear()
+            features = _features(word)
+            self._clean[word] = float(self._clean_column[features].sum()) / len(features)
+        return self._clean[word]
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """log likelihood of each word under each class."""
         grams = [_features(w) for w in words]
         if not grams:
             return np.zeros((0, self.table.shape[1]), np.float32)
         at = np.concatenate([[0], np.cumsum([len(g) for g in grams])[:-1]])
-        return np.add.reduceat(self.table[np.concatenate(grams), :first], at, 0)
+        return np.add.reduceat(self.table[np.concatenate(grams)], at, 0)
 
     def best(self, words: list[str]) -> list[list[tuple[int, float]]]:
         """(chain, gain over clean text) of each word's likeliest chains, best first, as far as they are likelier than clean text."""
@@ -237,8 +247,15 @@ def _evidence(model: Classifier, word: str, chains: list[tuple[int, float]]) ->
     if word not in model.seen:
         if len(model.seen) > 300_000:
             model.seen.clear()
-        each = [(c, *_says(model, word, c, gain)) for c, gain in chains]
-        model.seen[word] = next((e for e in each if e[2] is not None and e[1] > 0), max(each, key=lambda e: e[1]))
+        most = None
+        for c, gain in chains:  # likeliest first; the first that fits decides, so the others needn't be turned round
+            e = (c, *_says(model, word, c, gain))
+            if e[2] is not None and e[1] > 0:
+                most = e
+                break
+            if most is None or e[1] > most[1]:
+                most = e
+        model.seen[word] = most
     return model.seen[word]
 
 
@@ -263,8 +280,7 @@ def _restored(model: Classifier, word: str, chain: int) -> str | None:
         return None
     if before.isascii() or model.knows(before):
         return before
-    old, new = model.scores([word, before], 1)[:, 0]
-    return before if new / len(_features(before)) > old / len(_features(word)) + BETTER else None
+    return before if model.clean(before) > model.clean(word) + BETTER else None
 
 
 def repair(model: Classifier, text: str, words: list[str] | None = None) -> tuple[str, str | None, bool] | None:
