@@ -13,30 +13,43 @@ PROFILE_LANGUAGES = {
     "swift": "Swift", "kt": "Kotlin", "scala": "Scala", "sh": "Shell", "yaml": "YAML", "yml": "YAML", "json": "JSON", "toml": "TOML", "xml": "XML", "html": "HTML", "css": "CSS", "scss": "SCSS", "md": "Markdown",
 }
 #: Extensions and names by which files are put into categories.
-DOC_EXTENSIONS = "md rst txt".split()
-SOURCE_EXTENSIONS = "py js ts jsx tsx java go rs cpp c cs rb php swift kt scala".split()
-CONFIG_EXTENSIONS = "yaml yml toml ini cfg json".split()
-SCRIPT_EXTENSIONS = "sh bash zsh ps1 bat cmd".split()
-ASSET_EXTENSIONS = "png jpg jpeg gif svg ico webp".split()
-CONFIG_NAMES = ".env.example .env docker-compose.yml Dockerfile pyproject.toml setup.cfg tox.ini pytest.ini mypy.ini .prettierrc .eslintrc tsconfig.json .eslintrc.js .eslintrc.json jest.config.js babel.config.js webpack.config.js vite.config.ts nginx.conf supervisord.conf".split()
-IMPORTANT_NAMES = "README.md README.rst LICENSE Dockerfile docker-compose.yml requirements.txt package.json pyproject.toml setup.py pom.xml build.gradle Makefile .env.example .gitignore".split()
-ENTRY_NAMES = "main.py app.py server.py manage.py run.py wsgi.py asgi.py index.js server.js app.js main.ts server.ts App.tsx index.ts".split()
+DOC_EXTENSIONS = ["md", "rst", "txt"]
+SOURCE_EXTENSIONS = ["py", "js", "ts", "jsx", "tsx", "java", "go", "rs", "cpp", "c", "cs", "rb", "php", "swift", "kt", "scala"]
+CONFIG_EXTENSIONS = ["yaml", "yml", "toml", "ini", "cfg", "json"]
+SCRIPT_EXTENSIONS = ["sh", "bash", "zsh", "ps1", "bat", "cmd"]
+ASSET_EXTENSIONS = ["png", "jpg", "jpeg", "gif", "svg", "ico", "webp"]
+CONFIG_NAMES = [
+    ".env.example", ".env", "docker-compose.yml", "Dockerfile", "pyproject.toml", "setup.cfg", "tox.ini", "pytest.ini", "mypy.ini",
+    ".prettierrc", ".eslintrc", "tsconfig.json", ".eslintrc.js", ".eslintrc.json", "jest.config.js", "babel.config.js",
+    "webpack.config.js", "vite.config.ts", "nginx.conf", "supervisord.conf",
+]
+IMPORTANT_NAMES = [
+    "README.md", "README.rst", "LICENSE", "Dockerfile", "docker-compose.yml", "requirements.txt", "package.json", "pyproject.toml",
+    "setup.py", "pom.xml", "build.gradle", "Makefile", ".env.example", ".gitignore",
+]
+ENTRY_NAMES = [
+    "main.py", "app.py", "server.py", "manage.py", "run.py", "wsgi.py", "asgi.py", "index.js", "server.js", "app.js", "main.ts",
+    "server.ts", "App.tsx", "index.ts",
+]
 #: Folder names and the kind they stand for.
 FOLDER_KINDS = {
-    "API": "api routes controllers endpoints handlers".split(),
-    "Authentication": "auth authentication jwt oauth".split(),
-    "Database": "database db models schemas repositories migrations".split(),
-    "Services": "services usecases business".split(),
-    "RAG / AI": "rag embeddings llm agents prompts retrieval".split(),
-    "Utilities": "utils helpers common core lib".split(),
-    "Infrastructure": "infra infrastructure docker k8s config".split(),
-    "Testing": "tests test spec e2e".split(),
-    "Application Layer": "app src".split(),
-    "UI Components": "components views pages hooks widgets".split(),
+    "API": ["api", "routes", "controllers", "endpoints", "handlers"],
+    "Authentication": ["auth", "authentication", "jwt", "oauth"],
+    "Database": ["database", "db", "models", "schemas", "repositories", "migrations"],
+    "Services": ["services", "usecases", "business"],
+    "RAG / AI": ["rag", "embeddings", "llm", "agents", "prompts", "retrieval"],
+    "Utilities": ["utils", "helpers", "common", "core", "lib"],
+    "Infrastructure": ["infra", "infrastructure", "docker", "k8s", "config"],
+    "Testing": ["tests", "test", "spec", "e2e"],
+    "Application Layer": ["app", "src"],
+    "UI Components": ["components", "views", "pages", "hooks", "widgets"],
 }
 #: Folders a scan does not enter, extensions it does not read.
-IGNORED_FOLDERS = ".git .idea .vscode __pycache__ node_modules venv .venv env dist build coverage .pytest_cache .mypy_cache".split()
-IGNORED_EXTENSIONS = "png jpg jpeg gif ico pdf zip tar gz 7z exe dll so obj o class pyc".split()
+IGNORED_FOLDERS = [
+    ".git", ".idea", ".vscode", "__pycache__", "node_modules", "venv", ".venv", "env", "dist", "build", "coverage", ".pytest_cache",
+    ".mypy_cache",
+]
+IGNORED_EXTENSIONS = ["png", "jpg", "jpeg", "gif", "ico", "pdf", "zip", "tar", "gz", "7z", "exe", "dll", "so", "obj", "o", "class", "pyc"]
 #: Fixed values: (file, word in its first 4096 characters, framework).
 FRAMEWORK_RULES = [
     ("requirements.txt", "fastapi", "FastAPI"), ("requirements.txt", "django", "Django"), ("requirements.txt", "flask", "Flask"), ("requirements.txt", "tornado", "Tornado"), ("requirements.txt", "starlette", "Starlette"),

@@ -9,9 +9,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that say little in an identifier.
-SYNTAX_WORDS = "a an and as by class def else for from function if import in is method module not of or private protected public return self static the this while".split()
-PATH_WORDS = "app backend build dist docs doc lib main src spec test tests".split()
-WEAK_WORDS = "api backend boolean change code count date false logic model module modified new number string true update value values".split()
+SYNTAX_WORDS = [
+    "a", "an", "and", "as", "by", "class", "def", "else", "for", "from", "function", "if", "import", "in", "is", "method", "module", "not",
+    "of", "or", "private", "protected", "public", "return", "self", "static", "the", "this", "while",
+]
+PATH_WORDS = ["app", "backend", "build", "dist", "docs", "doc", "lib", "main", "src", "spec", "test", "tests"]
+WEAK_WORDS = [
+    "api", "backend", "boolean", "change", "code", "count", "date", "false", "logic", "model", "module", "modified", "new", "number",
+    "string", "true", "update", "value", "values",
+]
 
 SPACE = "[\\t-\\r ]"
 

@@ -9,13 +9,19 @@ from pyspark.sql import functions as F
 from lodestone.functions.files import DOC_EXTENSIONS, base_name, extension
 
 #: Names and extensions of configuration files, and words in their names.
-CONFIG_FILES = "package.json package-lock.json requirements.txt pyproject.toml setup.py tsconfig.json dockerfile docker-compose.yml".split()
-CONFIG_WORDS = "config settings setup env properties".split()
-CONFIG_SUFFIXES = "json yaml yml toml ini conf properties".split()
+CONFIG_FILES = [
+    "package.json", "package-lock.json", "requirements.txt", "pyproject.toml", "setup.py", "tsconfig.json", "dockerfile",
+    "docker-compose.yml",
+]
+CONFIG_WORDS = ["config", "settings", "setup", "env", "properties"]
+CONFIG_SUFFIXES = ["json", "yaml", "yml", "toml", "ini", "conf", "properties"]
 #: Words in diffs and symbol names that hint at a kind of change.
-HELPER_WORDS = "helper util utility common shared internal private".split()
+HELPER_WORDS = ["helper", "util", "utility", "common", "shared", "internal", "private"]
 #: Kinds of change, the one that names a commit's change first.
-KIND_ORDER = "structural_update added_helper code_organization refactor rename logic configuration documentation comment formatting".split()
+KIND_ORDER = [
+    "structural_update", "added_helper", "code_organization", "refactor", "rename", "logic", "configuration", "documentation", "comment",
+    "formatting",
+]
 
 
 def first_arrivals(code_changes: DataFrame, *columns: str) -> DataFrame:
