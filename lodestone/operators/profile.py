@@ -59,11 +59,23 @@ def known_files(files: DataFrame, names: list[str] = fn.IMPORTANT_NAMES) -> Data
     return every.join(present, ["repository", "name"], "left").select("repository", "name", F.coalesce("there", F.lit(False)).alias("present"))
 
 
+_HEAD = 4096
+
+
 def frameworks(contents: DataFrame) -> DataFrame:
-    """(repository, framework) by rules over (repository, file_path, content): a word in the first 4096 characters of a named file."""
+    """(repository, framework) by rules over (repository, file_path, start_line, content): a word in the first 4096 characters of a named file.
+
+    A file's chunks are put together in the order of their lines (then of their text), a line break after each, as far as they reach
+    into its first characters; only files that some rule names are.
+    """
     rules = contents.sparkSession.createDataFrame(fn.FRAMEWORK_RULES, "name string, word string, framework string")
-    named = contents.select("repository", fn.base_name(F.col("file_path")).alias("name"), F.lower(F.substring("content", 1, 4096)).alias("head"))
-    return named.join(F.broadcast(rules), "name").where(F.col("head").contains(F.col("word"))).select("repository", "framework").distinct()
+    named = contents.withColumn("name", fn.base_name(F.col("file_path"))).where(F.col("name").isin(sorted({r[0] for r in fn.FRAMEWORK_RULES})) & F.col("content").isNotNull())
+    order = W.partitionBy("repository", "file_path").orderBy("start_line", "content")
+    before = F.coalesce(F.sum(F.char_length("content") + 1).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = named.withColumn("before", before).where(F.col("before") < _HEAD)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("before", F.substring("content", 1, _HEAD).alias("t")))), lambda x: x["t"]), "\n")
+    heads = parts.groupBy("repository", "file_path", "name").agg(F.lower(F.substring(joined, 1, _HEAD)).alias("head"))
+    return heads.join(F.broadcast(rules), "name").where(F.col("head").contains(F.col("word"))).select("repository", "framework").distinct()
 
 
 def sorted_directory(files: DataFrame) -> DataFrame:

@@ -169,10 +169,11 @@ def important_files(spark: SparkSession, d: str) -> DataFrame:
 _RULES = ", ".join(f"('{n}', '{w}', '{f}')" for n, w, f in fn.FRAMEWORK_RULES)
 
 
-@_query(f"""SELECT DISTINCT repository, framework FROM {_NEWEST} c JOIN (VALUES {_RULES}) r(name, word, framework)
-    ON {_BASE.format("file_path")} = r.name AND contains(lower(substring(content, 1, 4096)), r.word)""")
+@_query(f"""SELECT DISTINCT repository, framework FROM (SELECT repository, file_path, lower(substring(string_agg(content, chr(10) ORDER BY start_line, content), 1, 4096)) AS head
+        FROM {_NEWEST} c WHERE content IS NOT NULL GROUP BY repository, file_path) JOIN (VALUES {_RULES}) r(name, word, framework)
+    ON {_BASE.format("file_path")} = r.name AND contains(head, r.word)""")
 def framework_rules(spark: SparkSession, d: str) -> DataFrame:
-    return profile.frameworks(ck.newest(table(spark, d, "chunks"), "repository", "file_path", "content"))
+    return profile.frameworks(ck.newest(table(spark, d, "chunks"), "repository", "file_path", "start_line", "content"))
 
 
 @_query(f"""WITH f AS (SELECT repository, {_FOLDER.format("file_path")} AS folder, {_BASE.format("file_path")} AS entry, true AS is_file FROM {_FILES}),

@@ -142,7 +142,9 @@ def test_quality(spark):
 
 def test_profile_and_filters(spark):
     c = spark.createDataFrame([("1", "r", "requirements.txt", "FastAPI==1", True, 1), ("2", "r", "src/a.py", "x", True, 1), ("2", "r", "src/a.py", "x", False, 2), ("3", "r", "src/b.py", " ", True, 1)], "chunk_id string, repository string, file_path string, content string, active boolean, created_at int").withColumns({"content_hash": F.col("content"), "created_at": F.timestamp_seconds("created_at"), "prog_lang": F.lit("Python")})
-    assert [r.framework for r in profile.frameworks(c).collect()] == ["FastAPI"]
+    assert [r.framework for r in profile.frameworks(c.withColumn("start_line", F.lit(1))).collect()] == ["FastAPI"]
+    parts = spark.createDataFrame([("r", "requirements.txt", 1, "x" * 100), ("r", "requirements.txt", 2, "fastapi"), ("late", "requirements.txt", 1, "x" * 4090), ("late", "requirements.txt", 9, "fastapi"), ("n", "requirements.txt", None, None)], "repository string, file_path string, start_line int, content string")
+    assert [r.repository for r in profile.frameworks(parts).collect()] == ["r"]
     kept = chunks.filter_chain(chunks.newest(c, "repository", "content", "active", "prog_lang"), repository="r", languages=["python"], missing="x")
     assert {r.chunk_id: r.removed_by for r in kept.collect()} == {"1": "missing", "2": "inactive", "3": "inactive"}
 
