@@ -74,18 +74,26 @@ def _holds(filter_: np.ndarray, hashes: np.ndarray, size: int) -> np.ndarray:
     return found
 
 
-def _build(size: int):
+def _size(ids: int, bits_per_id: int) -> int:
+    return 1 << max(12, (ids * bits_per_id).bit_length())
+
+
+def _build(bits_per_id: int):
+    """A filter for each bucket and slice, of a power of two of bits in proportion to its own identifiers."""
+
     def build(key: tuple, ids: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"slice": [key[0]], "bucket": [key[1]], "filter": [_fill(ids["h"].to_numpy(np.int64), size).tobytes()]})
+        return pd.DataFrame({"slice": [key[0]], "bucket": [key[1]], "filter": [_fill(ids["h"].to_numpy(np.int64), _size(len(ids), bits_per_id)).tobytes()]})
 
     return build
 
 
-def _screen(size: int):
+def _screen(bits_per_id: int):
     def screen(ids: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
         filters = filters.sort_values("bucket")
         names, each = list(filters["bucket"]), [np.frombuffer(x, np.uint8) for x in filters["filter"]]
-        before, hits, buckets = np.zeros((size + 7) // 8, np.uint8), [], []
+        # Positions are taken modulo a power of two, so a filter repeated to a greater size holds what it held.
+        size = max([_size(len(ids), bits_per_id), *(8 * len(x) for x in each)])
+        before, hits, buckets = np.zeros(size // 8, np.uint8), [], []
         groups = {b: g for b, g in ids.groupby("bucket")}
         for k, name in enumerate(names):
             here = groups[name]
@@ -96,13 +104,13 @@ def _screen(size: int):
             maybe = h[_holds(before, h, size)]
             found = np.zeros(len(maybe), np.bool_)
             for j in range(k if len(maybe) else 0):
-                at = _holds(each[j], maybe, size)
+                at = _holds(each[j], maybe, 8 * len(each[j]))
                 found |= at
                 hits.append(maybe[at])
                 buckets.append(np.full(int(at.sum()), j))
             hits.append(maybe[found])
             buckets.append(np.full(int(found.sum()), k))
-            before = before | each[k]
+            before = before | np.tile(each[k], size // (8 * len(each[k])))
         h, b = np.concatenate(hits or [np.zeros(0, np.int64)]), np.concatenate(buckets or [np.zeros(0, np.int64)])
         return pd.DataFrame({"h": h.astype(np.int64), "bucket": [names[i] for i in b.astype(np.int64)]}).drop_duplicates()
 
@@ -114,10 +122,9 @@ def possible_repeats(stored: DataFrame, ids_per_slice: int = 200_000, bits_per_i
     small = stored.groupBy("h", "bucket").agg(F.count("*").alias("n"))
     total = stored.count()
     slices = max(8, ceil(total / ids_per_slice))
-    size = 1 << max(12, (ceil(total / slices) * bits_per_id).bit_length())
     small = small.withColumn("slice", F.pmod(F.xxhash64("h"), F.lit(slices)).cast("int"))
-    filters = small.groupBy("slice", "bucket").applyInPandas(_build(size), "slice int, bucket string, filter binary")
-    return small.groupBy("slice").cogroup(filters.groupBy("slice")).applyInPandas(_screen(size), "h long, bucket string")
+    filters = small.groupBy("slice", "bucket").applyInPandas(_build(bits_per_id), "slice int, bucket string, filter binary")
+    return small.groupBy("slice").cogroup(filters.groupBy("slice")).applyInPandas(_screen(bits_per_id), "h long, bucket string")
 
 
 def repeats(ids: DataFrame, bucket: str = "week") -> DataFrame:
